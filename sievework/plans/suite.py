@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.operators import checks
 from sievework.operators.checks import Rule
@@ -64,6 +65,19 @@ def run(tables: dict[str, DataFrame], rules: list[Rule], as_of: str) -> DataFram
     return out
 
 
+def null_cover(table: str, df: DataFrame, priority: str = "P2") -> list[Rule]:
+    """One NULL test per nullable column."""
+    return [Rule(table, "COMPLETENESS", f.name, priority) for f in df.schema if f.nullable]
+
+
+def boundary_cover(table: str, df: DataFrame, priority: str = "P3") -> list[Rule]:
+    """Empty table, all-NULL columns, numbers at their type's maximum."""
+    rules = [Rule(table, "EMPTY_SOURCE", None, priority)]
+    rules += [Rule(table, "ALL_NULL", f.name, priority) for f in df.schema]
+    whole = [f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)]
+    return rules + [Rule(table, "NUMERIC_MAX", name, priority) for name in whole]
+
+
 def by_priority(results: DataFrame) -> DataFrame:
     return results.orderBy("priority", "table_name", "rule_id")
 
