@@ -274,14 +274,14 @@ def dimension(hub_df: DataFrame, satellites: list[DataFrame], hk: str) -> DataFr
 def fact(
     df: DataFrame,
     dimensions: dict[str, list[str]],
-    measures: dict[str, Column],
+    measures: dict[str, str],
     degenerate: list[str] | None = None,
     algo: str = "sha256",
 ) -> DataFrame:
-    """Measures at the grain of the given keys; summed first, hashed after."""
+    """Measures (aggregate expressions) at the grain of the given keys; summed first, hashed after."""
     degenerate = degenerate or []
     keys = [k for columns in dimensions.values() for k in columns]
-    sums = df.groupBy(*keys, *degenerate).agg(*[m.alias(n) for n, m in measures.items()])
+    sums = df.groupBy(*keys, *degenerate).agg(*[F.expr(m).alias(n) for n, m in measures.items()])
 
     def dim_key(columns: list[str]) -> Column:
         missing = F.coalesce(*[F.col(c).cast("string") for c in columns]).isNull()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.operators import vault
@@ -39,7 +39,7 @@ def silver(tables: dict[str, DataFrame], load_date: str, record_source: str = "t
     }
 
 
-def gold(vaults: dict[str, DataFrame], measures_of: DataFrame, measures: dict[str, Column]) -> dict[str, DataFrame]:
+def gold(vaults: dict[str, DataFrame], measures_of: DataFrame, measures: dict[str, str]) -> dict[str, DataFrame]:
     """Dimension from the satellites' current rows, fact by customer from order rows."""
     customer = vault.dimension(
         vaults["HUB_CUSTOMER"], [vaults["SAT_CUSTOMER_DETAILS"]], "customer_hk"

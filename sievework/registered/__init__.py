@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("profiling", "quality")
+MODULES = ("profiling", "quality", "vaulting")
 
 
 def load_all() -> tuple[dict, dict]:

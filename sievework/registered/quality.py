@@ -477,17 +477,30 @@ def dq_null_cover(spark, sf_dir):
     return rows_of(suite.run({"orders": orders}, suite.null_cover("orders", orders), AS_OF))
 
 
+BOUNDARY_COLUMNS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+]
+WHOLE_COLUMNS = {"l_orderkey": 2**63 - 1, "l_partkey": 2**63 - 1, "l_suppkey": 2**63 - 1, "l_linenumber": 2**31 - 1}
+
+
 @query(
     "dq_boundary_cover",
     " UNION ALL ".join(
-        ["SELECT 'nation' AS table_name, 'EMPTY_SOURCE' AS rule_type, CAST(NULL AS VARCHAR) AS column_name, CAST(CASE WHEN count(*) = 0 THEN 1 ELSE 0 END AS BIGINT) AS failures FROM nation"]
-        + [f"SELECT 'nation', 'ALL_NULL', '{c}', CAST(CASE WHEN count(*) > 0 AND count({c}) = 0 THEN 1 ELSE 0 END AS BIGINT) FROM nation" for c in ("n_nationkey", "n_name", "n_regionkey")]
-        + [f"SELECT 'nation', 'NUMERIC_MAX', '{c}', count(*) FILTER ({c} = 2147483647) FROM nation" for c in ("n_nationkey", "n_regionkey")]
+        [
+            "SELECT 'lineitem' AS table_name, 'EMPTY_SOURCE' AS rule_type, CAST(NULL AS VARCHAR) AS column_name, "
+            "CAST(CASE WHEN count(*) = 0 THEN 1 ELSE 0 END AS BIGINT) AS failures FROM lineitem"
+        ]
+        + [
+            f"SELECT 'lineitem', 'ALL_NULL', '{c}', CAST(CASE WHEN count(*) > 0 AND count({c}) = 0 THEN 1 ELSE 0 END AS BIGINT) FROM lineitem"
+            for c in BOUNDARY_COLUMNS
+        ]
+        + [f"SELECT 'lineitem', 'NUMERIC_MAX', '{c}', count(*) FILTER ({c} = {top}) FROM lineitem" for c, top in WHOLE_COLUMNS.items()]
     ),
 )
 def dq_boundary_cover(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation")
-    results = suite.run({"nation": nation}, suite.boundary_cover("nation", nation), AS_OF)
+    lines = table(spark, sf_dir, "lineitem")
+    results = suite.run({"lineitem": lines}, suite.boundary_cover("lineitem", lines), AS_OF)
     return results.select("table_name", "rule_type", "column_name", "failures")
 
 
@@ -597,8 +610,8 @@ def mapping_apply(spark, sf_dir):
 @query(
     "mapping_rejects",
     " UNION ALL ".join(
-        f"SELECT '{m.target_column}' AS target_column, CAST({'count(*)' if m.target_column == 'segment_no' else 0} AS BIGINT) AS cast_failures, "
-        f"CAST({'count(*)' if m.target_column == 'segment_no' else 0} AS BIGINT) AS null_failures FROM customer WHERE c_acctbal > 0"
+        f"SELECT '{m.target_column}' AS target_column, count(*) * {int(m.target_column == 'segment_no')} AS cast_failures, "
+        f"count(*) * {int(m.target_column == 'segment_no')} AS null_failures FROM customer WHERE c_acctbal > 0"
         for m in MAPPING.columns
     ),
 )
