@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("profiling", "quality", "vaulting")
+MODULES = ("profiling", "quality", "vaulting", "graphs", "texts")
 
 
 def load_all() -> tuple[dict, dict]:
