@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("profiling", "quality", "vaulting", "graphs", "texts")
+MODULES = ("profiling", "quality", "vaulting", "graphs", "texts", "loads")
 
 
 def load_all() -> tuple[dict, dict]:

@@ -47,7 +47,7 @@ def doc_chunks(spark, sf_dir) -> DataFrame:
 def corpus_chunks(spark, sf_dir):
     """Documents packed into passages, line by line."""
     return doc_chunks(spark, sf_dir).select(
-        "doc_id", "chunk_no", F.md5("chunk").alias("chunk_md5"), F.length("chunk").alias("n_chars")
+        "doc_id", "chunk_no", F.md5("chunk").alias("chunk_md5"), F.length("chunk").cast("bigint").alias("n_chars")
     )
 
 

@@ -35,11 +35,22 @@ def _rows(names: list[str], rows) -> list[tuple]:
     return sorted((tuple(_cell(r[i]) for i in order) for r in rows), key=repr)
 
 
+SPARK_TYPES = {
+    "BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean",
+}
+
+
 def compare(df, con, sql: str) -> str | None:
     """None if both sides agree, else what differs."""
     result = con.execute(sql)
     names = [d[0] for d in result.description]
+    declared = {d[0]: SPARK_TYPES.get(str(d[1]), str(d[1])) for d in result.description}
+    off = {c: (t, declared.get(c)) for c, t in df.dtypes if declared.get(c) != t}
+    if off:
+        return f"types (ours, SQL): {off}"
     expected = _rows(names, result.fetchall())
+    if not expected:
+        return "the SQL gives no rows"
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} against {sorted(names)}"
