@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters Python's str.strip() and split() treat as white space.
-SPACE = (
-    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
+# The characters Python's str.strip() and split() treat as white space, as code
+# point ranges; as a regular expression; as text.
+SPACE_RANGES = [
+    (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+    (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+]
+SPACE = "[" + "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in SPACE_RANGES) + "]"
+SPACE_CHARS = "".join(chr(c) for low, high in SPACE_RANGES for c in range(low, high + 1))
 CHARS_PER_TOKEN = 4
 
 
 def strip(c: Column) -> Column:
-    """Drop white space at both ends, new lines included (trim() takes blanks only)."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    """Drop white space at both ends, new lines included (plain trim() takes blanks only)."""
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def occurrences(lowered: Column, word: str) -> Column:

@@ -13,7 +13,7 @@ PROMPT_TOKENS = 3000
 
 # Fixed values
 STOP_WORDS = ["the", "a", "an", "and", "or", "is", "in", "of", "to", "for"]
-EDGE_PUNCTUATION = r"""[.,;:()'"]"""
+EDGE_PUNCTUATION = """.,;:()'\""""
 
 
 def chunks(
@@ -28,9 +28,7 @@ def chunks(
     source = F.concat(F.lit("[Source: "), F.col(doc_id).cast("string"), F.lit("]"))
     head = F.length(source) + 1
 
-    paragraphs = F.filter(
-        F.transform(F.split(strip(F.col(text)), separator, -1), strip), lambda p: F.length(p) > 0
-    )
+    paragraphs = F.filter(F.transform(F.split(text, separator, -1), strip), lambda p: F.length(p) > 0)
     prepared = docs.select(F.col(doc_id).alias("doc_id"), source.alias("_source"), head.alias("_head"), paragraphs.alias("_paras"))
 
     # state: length of the open passage, index of the first paragraph of each closed one, position
@@ -53,7 +51,7 @@ def chunks(
     def passage(start: Column, no: Column) -> Column:
         until = F.coalesce(F.try_element_at("_starts", no + 2), F.size("_paras"))
         body = F.array_join(F.slice("_paras", start + 1, until - start), "\n\n")
-        return F.when(body == "", F.col("_source")).otherwise(F.concat("_source", F.lit("\n"), body))
+        return F.when(until > start, F.concat("_source", F.lit("\n"), body)).otherwise(F.col("_source"))
 
     return packed.select("doc_id", F.posexplode(F.transform("_starts", passage)).alias("chunk_no", "chunk"))
 
@@ -103,7 +101,7 @@ def over_budget(df: DataFrame, text: str, limit: int = PROMPT_TOKENS) -> DataFra
 def context_words(text: Column) -> Column:
     """Distinct words of a text, without edge punctuation, short words and stop words."""
     words = F.split(strip(F.lower(text)), f"{SPACE}+")
-    clean = F.transform(words, lambda w: F.regexp_replace(w, f"^{EDGE_PUNCTUATION}+|{EDGE_PUNCTUATION}+$", ""))
+    clean = F.transform(words, lambda w: F.btrim(w, F.lit(EDGE_PUNCTUATION)))
     return F.array_distinct(F.filter(clean, lambda w: (F.length(w) > 3) & ~w.isin(STOP_WORDS)))
 
 

@@ -114,13 +114,13 @@ def lineage_acyclic(spark, sf_dir):
 @query(
     "lineage_layer_jumps",
     """
-    SELECT 'orders_' || s_suppkey AS from_id, 'dim_supplier_' || s_suppkey AS to_id, 2 AS step FROM supplier WHERE s_acctbal < 0
+    SELECT 'orders_' || s_suppkey AS from_id, 'dim_supplier_' || s_suppkey AS to_id, 2 AS step FROM supplier WHERE s_acctbal < 5000
     """,
 )
 def lineage_layer_jumps(spark, sf_dir):
-    """Source to report per supplier; suppliers in debt skip the vault."""
+    """Source to report per supplier; those with a low balance skip the vault."""
     supplier = table(spark, sf_dir, "supplier")
-    debt = F.col("s_acctbal") < 0
+    low = F.col("s_acctbal") < 5000
 
     def step(a: str, b: str):
         return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
@@ -131,7 +131,7 @@ def lineage_layer_jumps(spark, sf_dir):
             step("orders_", "hub_supplier_"),
             step("hub_supplier_", "dim_supplier_"),
             step("dim_supplier_", "report_"),
-            F.when(debt, step("orders_", "dim_supplier_")),
+            F.when(low, step("orders_", "dim_supplier_")),
         )
     )
     rows = supplier.select("s_suppkey", F.explode(steps).alias("s")).select(
