@@ -162,13 +162,8 @@ def _referential(rule: Rule, tables: dict[str, DataFrame], nulls_fail: bool) ->
 
 
 def excess_copies(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows that occur more than once, with n.
-
-    Only an 8-byte hash per row is shuffled first; whole rows move only where a hash repeats.
-    """
-    rows = df.select(*columns).withColumn("_h", F.xxhash64(*columns))
-    repeated = rows.groupBy("_h").agg(F.count("*").alias("c")).filter("c > 1").select("_h")
-    return rows.join(repeated, "_h", "left_semi").groupBy(*columns).agg(F.count("*").alias("n")).filter("n > 1")
+    """Rows that occur more than once, with n. Copies are counted map-side before rows move."""
+    return df.groupBy(*columns).agg(F.count("*").alias("n")).filter("n > 1")
 
 
 def _duplicate_rows(rule: Rule, tables: dict[str, DataFrame]) -> DataFrame:
@@ -177,13 +172,8 @@ def _duplicate_rows(rule: Rule, tables: dict[str, DataFrame]) -> DataFrame:
     return copies.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("failures"))
 
 
-def duplicate_keys(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Business keys that occur more than once, with n."""
-    return df.groupBy(*columns).agg(F.count("*").alias("n")).filter("n > 1")
-
-
 def _duplicate_business_key(rule: Rule, tables: dict[str, DataFrame]) -> DataFrame:
-    return duplicate_keys(tables[rule.table], rule.columns).agg(F.count("*").alias("failures"))
+    return excess_copies(tables[rule.table], rule.columns).agg(F.count("*").alias("failures"))
 
 
 def load_variance(df: DataFrame, load_column: str) -> DataFrame:

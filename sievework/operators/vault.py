@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.functions.hashing import hash_diff, hash_key, key_text, zero_key
+from sievework.functions.hashing import digest, hash_diff, hash_key, key_text, zero_key
 from sievework.functions.ordered import with_neighbour
 
 GHOST_SOURCE = "GHOST"
@@ -54,6 +54,15 @@ def _first_seen(sources: list[Source], keys: list[str]) -> DataFrame:
     return seen
 
 
+def _missing(columns: list[str]) -> Column:
+    return F.coalesce(*[F.col(c).cast("string") for c in columns]).isNull()
+
+
+def _is_final(sources: list[Source], seen: DataFrame, keys: list[str]) -> bool:
+    """One source, and no key column whose spelling may vary: first-seen rows are unique already."""
+    return len(sources) == 1 and not any(isinstance(seen.schema[k].dataType, T.StringType) for k in keys)
+
+
 def ghost(schema: T.StructType, key_columns: list[str], algo: str, spark) -> DataFrame:
     """The zero-hash row that NULL foreign keys point at."""
     fixed = {
@@ -79,17 +88,18 @@ def hub(
     Initial load: all keys, and the ghost record. With `existing`: only keys it lacks, to append.
     """
     hk = f"{entity}_hk"
-    seen = _first_seen(sources, keys).filter(F.coalesce(*[F.col(k).cast("string") for k in keys]).isNotNull())
-    # spellings that share a key text share a hub row; the earliest load wins
-    rows = (
-        seen.groupBy(key_text(*[F.col(k) for k in keys]).alias("key_text"))
-        .agg(F.min(F.struct("load_date", "record_source", *keys)).alias("first"))
-        .select(
-            hash_key(*[F.col(f"first.{k}") for k in keys], algo=algo).alias(hk),
-            *[F.col(f"first.{k}").alias(k) for k in keys],
-            "first.load_date",
-            "first.record_source",
+    seen = _first_seen(sources, keys).filter(~_missing(keys))
+    if _is_final(sources, seen, keys):
+        first = seen
+    else:
+        # spellings that share a key text share a hub row; the earliest load wins
+        first = (
+            seen.groupBy(key_text(*[F.col(k) for k in keys]).alias("_text"))
+            .agg(F.min(F.struct("load_date", "record_source", *keys)).alias("first"))
+            .select("first.*")
         )
+    rows = first.select(
+        hash_key(*[F.col(k) for k in keys], algo=algo).alias(hk), *keys, "load_date", "record_source"
     )
     if existing is not None:
         return rows.join(existing.select(hk), hk, "left_anti")
@@ -113,29 +123,43 @@ def link(
     hk = f"{name}_hk"
     keys = [c for columns in hubs.values() for c in columns]
     seen = _first_seen(sources, keys)
-
-    def hub_key(columns: list[str]) -> Column:
-        missing = F.coalesce(*[F.col(c).cast("string") for c in columns]).isNull()
-        return F.when(missing, zero_key(algo)).otherwise(hash_key(*[F.col(c) for c in columns], algo=algo))
-
-    hashed = seen.select(
-        *[hub_key(columns).alias(f"{entity}_hk") for entity, columns in hubs.items()], "load_date", "record_source"
+    texts = seen.select(
+        *[F.when(~_missing(c), key_text(*[F.col(x) for x in c])).alias(entity) for entity, c in hubs.items()],
+        "load_date",
+        "record_source",
     )
-    hub_keys = [f"{entity}_hk" for entity in hubs]
-    rows = (
-        hashed.groupBy(*hub_keys)
-        .agg(F.min(F.struct("load_date", "record_source")).alias("first"))
-        .select(
-            hash_key(*[F.col(k) for k in hub_keys], algo=algo).alias(hk),
-            *hub_keys,
-            "first.load_date",
-            "first.record_source",
+    if not _is_final(sources, seen, keys):
+        texts = (
+            texts.groupBy(*hubs)
+            .agg(F.min(F.struct("load_date", "record_source")).alias("first"))
+            .select(*hubs, "first.*")
         )
+    hub_keys = [f"{entity}_hk" for entity in hubs]
+    hashed = texts.select(
+        *[F.coalesce(digest(F.col(e), algo), zero_key(algo)).alias(k) for e, k in zip(hubs, hub_keys)],
+        "load_date",
+        "record_source",
+    )
+    rows = hashed.select(
+        hash_key(*[F.col(k) for k in hub_keys], algo=algo).alias(hk), *hub_keys, "load_date", "record_source"
     )
     return rows if existing is None else rows.join(existing.select(hk), hk, "left_anti")
 
 
-def stage(
+def _latest(
+    df: DataFrame, keys: list[str], load_date: Column, attributes: list[str], tie_break: list[str]
+) -> DataFrame:
+    """(keys, load_date, attributes as struct `a`): the last row of each key and load date."""
+    return df.groupBy(*keys, load_date.cast("timestamp_ntz").alias("load_date")).agg(
+        F.max_by(F.struct(*attributes), F.struct(*tie_break)).alias("a")
+    )
+
+
+def _chunk(unit: str | None) -> Column | None:
+    return None if unit is None else F.date_trunc(unit, F.col("load_date"))
+
+
+def satellite(
     df: DataFrame,
     parent_hk: str,
     keys: list[str],
@@ -143,17 +167,43 @@ def stage(
     attributes: list[str],
     record_source: str,
     tie_break: list[str],
+    chunk: str | None = "month",
     algo: str = "sha256",
     parent_key: Column | None = None,
 ) -> DataFrame:
-    """One row per key and load date, the last by `tie_break`; with hash key and hash_diff.
+    """First load of a satellite, with full history; see `history` for `chunk`.
 
+    Works on native keys and attributes throughout; hashes are computed for the rows that remain.
     `parent_key` replaces the hash of `keys`, for satellites on links.
     """
-    latest = df.groupBy(*keys, load_date.cast("timestamp_ntz").alias("load_date")).agg(
-        F.max_by(F.struct(*attributes), F.struct(*tie_break)).alias("a")
+    step = _chunk(chunk)
+    latest = _latest(df, keys, load_date, attributes, tie_break)
+    seen = with_neighbour(latest, keys, "load_date", "a", "_before", step)
+    changed = seen.filter(~F.col("a").eqNullSafe(F.col("_before"))).drop("_before")
+    ended = with_neighbour(changed, keys, "load_date", "load_date", "load_end_date", step, following=True)
+    return ended.select(
+        (hash_key(*[F.col(k) for k in keys], algo=algo) if parent_key is None else parent_key).alias(parent_hk),
+        "load_date",
+        "load_end_date",
+        F.lit(record_source).alias("record_source"),
+        hash_diff(*[F.col(f"a.{c}") for c in attributes], algo=algo).alias("hash_diff"),
+        *[F.col(f"a.{c}").alias(c) for c in attributes],
     )
-    return latest.select(
+
+
+def stage(
+    df: DataFrame,
+    parent_hk: str,
+    keys: list[str],
+    load_date: Column,
+    attributes: list[str],
+    record_source: str,
+    tie_break: list[str],
+    algo: str = "sha256",
+    parent_key: Column | None = None,
+) -> DataFrame:
+    """Rows to merge into a satellite: the last of each key and load date, with both hashes."""
+    return _latest(df, keys, load_date, attributes, tie_break).select(
         (hash_key(*[F.col(k) for k in keys], algo=algo) if parent_key is None else parent_key).alias(parent_hk),
         "load_date",
         F.lit(record_source).alias("record_source"),
@@ -168,7 +218,7 @@ def history(staged: DataFrame, parent_hk: str, chunk: str | None = "month") -> D
     Rows of a key are cut into pieces of `chunk` (a date_trunc unit), so a long history of one hot
     key is sorted by many tasks. Use None where load dates are few per key.
     """
-    step = None if chunk is None else F.date_trunc(chunk, F.col("load_date"))
+    step = _chunk(chunk)
     seen = with_neighbour(staged, [parent_hk], "load_date", "hash_diff", "_before", step)
     changed = seen.filter(F.col("_before").isNull() | (F.col("_before") != F.col("hash_diff"))).drop("_before")
     ended = with_neighbour(changed, [parent_hk], "load_date", "load_date", "load_end_date", step, following=True)
@@ -197,7 +247,7 @@ def change_rates(
 
     A guide to splitting satellites.
     """
-    step = None if chunk is None else F.date_trunc(chunk, F.col("load_date"))
+    step = _chunk(chunk)
     rows = staged.select(parent_hk, "load_date", F.struct(*attributes).alias("_now"))
     pairs = with_neighbour(rows, [parent_hk], "load_date", "_now", "_before", step).filter("_before IS NOT NULL")
     rates = [
@@ -230,22 +280,37 @@ def split(
     return out
 
 
-def point_in_time(satellites: dict[str, DataFrame], parent_hk: str, start: str, end: str, step: str = "1 day") -> DataFrame:
-    """Per key and snapshot, the load_date of each satellite's row valid then.
+def point_in_time(
+    satellites: dict[str, DataFrame], parent_hk: str, start: str, end: str, every_days: int = 1
+) -> DataFrame:
+    """Per key and snapshot date, the load_date of each satellite's row valid at its midnight.
 
     Validity intervals of a key do not overlap, so each satellite row lists the snapshots it covers:
     the as-of lookup is a projection, and only merging several satellites needs a shuffle.
     """
-    first = F.lit(start).cast("timestamp_ntz")
-    last = F.lit(end).cast("timestamp_ntz")
-    interval = F.expr(f"INTERVAL {step}")
+    first = F.lit(start).cast("date")
+    length = F.date_diff(F.lit(end).cast("date"), first) + 1
+
+    def reached(c: Column) -> Column:
+        """Number of the first snapshot at or after c."""
+        days = F.date_diff(c.cast("date"), first) + F.when(c > F.date_trunc("day", c), 1).otherwise(0)
+        return F.ceil(F.greatest(days, F.lit(0)) / F.lit(every_days)).cast("int")
+
     parts = None
     for name, sat in satellites.items():
-        snapshots = F.filter(
-            F.sequence(first, last, interval),
-            lambda s: (s >= F.col("load_date")) & (F.col("load_end_date").isNull() | (s < F.col("load_end_date"))),
+        after_last = F.ceil(length / F.lit(every_days)).cast("int")
+        ended = F.col("load_end_date").isNotNull()
+        until = F.when(ended, F.least(reached(F.col("load_end_date")), after_last)).otherwise(after_last)
+        covered = sat.select(
+            parent_hk, F.col("load_date"), reached(F.col("load_date")).alias("_from"), (until - 1).alias("_to")
+        ).filter("_from <= _to")
+        one = covered.select(
+            parent_hk, F.explode(F.sequence("_from", "_to")).alias("_no"), F.col("load_date").alias(f"{name}_load_date")
+        ).select(
+            parent_hk,
+            F.date_add(first, F.col("_no") * F.lit(every_days)).cast("timestamp_ntz").alias("snapshot_date"),
+            f"{name}_load_date",
         )
-        one = sat.select(parent_hk, F.explode(snapshots).alias("snapshot_date"), F.col("load_date").alias(f"{name}_load_date"))
         parts = one if parts is None else parts.unionByName(one, allowMissingColumns=True)
     if len(satellites) == 1:
         return parts
@@ -255,8 +320,8 @@ def point_in_time(satellites: dict[str, DataFrame], parent_hk: str, start: str,
 
 
 def bridge(link_df: DataFrame, hubs: dict[str, DataFrame], name: str) -> DataFrame:
-    """Link rows with the business keys of their hubs, each pair once."""
-    out = link_df.select(f"{name}_hk", *[f"{entity}_hk" for entity in hubs]).distinct()
+    """Link rows, unique by their hash key, with the business keys of their hubs."""
+    out = link_df.select(f"{name}_hk", *[f"{entity}_hk" for entity in hubs])
     for entity, hub_df in hubs.items():
         out = out.join(hub_df.drop("load_date", "record_source"), f"{entity}_hk")
     return out

@@ -17,9 +17,10 @@ def silver(tables: dict[str, DataFrame], load_date: str, record_source: str = "t
         return vault.Source(tables[name], list(keys), f"{record_source}.{name}", load_date)
 
     def sat(name: str, hk: str, key: str, attributes: list[str]) -> DataFrame:
-        at = F.lit(load_date).cast("timestamp_ntz")
-        rows = vault.stage(tables[name], hk, [key], at, attributes, f"{record_source}.{name}", attributes)
-        return vault.history(rows, hk, chunk=None)  # one load date
+        return vault.satellite(
+            tables[name], hk, [key], F.lit(load_date), attributes, f"{record_source}.{name}", attributes,
+            chunk=None,  # one load date
+        )
 
     return {
         vault.entity_name("hub", "customer"): vault.hub(

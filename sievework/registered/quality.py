@@ -288,7 +288,7 @@ check(
     "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
 )
 def dq_duplicate_keys(spark, sf_dir):
-    return checks.duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+    return checks.excess_copies(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 @query(

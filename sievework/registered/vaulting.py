@@ -108,7 +108,10 @@ SAT_USER = sat_sql("date_trunc('day', ts)::TIMESTAMP")
 
 
 def sat_user(spark, sf_dir) -> DataFrame:
-    return vault.history(user_days(spark, sf_dir), "user_hk", chunk=None)  # at most one row per day
+    return vault.satellite(
+        table(spark, sf_dir, "events"), "user_hk", ["user_id"], F.date_trunc("day", "ts"), ["event_type"], "web.events",
+        ["ts", "event_id"], chunk=None,  # at most one row per day
+    )
 
 
 @query("vault_sat_user", SAT_USER)
@@ -120,8 +123,10 @@ def vault_sat_user(spark, sf_dir):
 def vault_sat_user_events(spark, sf_dir):
     """History at full time resolution; long histories are cut by day."""
     events = table(spark, sf_dir, "events")
-    staged = vault.stage(events, "user_hk", ["user_id"], F.col("ts"), ["event_type"], "web.events", ["ts", "event_id"])
-    return texts(vault.history(staged, "user_hk", chunk="day"), "load_date", "load_end_date")
+    sat = vault.satellite(
+        events, "user_hk", ["user_id"], F.col("ts"), ["event_type"], "web.events", ["ts", "event_id"], chunk="day"
+    )
+    return texts(sat, "load_date", "load_end_date")
 
 
 @query("vault_sat_merge", SAT_USER)
@@ -193,11 +198,11 @@ def vault_link_sat(spark, sf_dir):
     """Descriptive data of the order-part link."""
     lines = table(spark, sf_dir, "lineitem")
     parent = hash_key(hash_key(F.col("l_orderkey")), hash_key(F.col("l_partkey")))
-    staged = vault.stage(
+    sat = vault.satellite(
         lines, "order_part_hk", ["l_orderkey", "l_partkey"], F.lit(LOADED), ["l_returnflag", "l_linestatus"],
-        "erp.lineitem", ["l_shipdate", "l_linenumber", "l_returnflag", "l_linestatus"], parent_key=parent,
+        "erp.lineitem", ["l_shipdate", "l_linenumber", "l_returnflag", "l_linestatus"],
+        chunk=None, parent_key=parent,  # one load date
     )
-    sat = vault.history(staged, "order_part_hk", chunk=None)  # one load date
     return sat.select("order_part_hk", "l_returnflag", "l_linestatus")
 
 
@@ -234,7 +239,7 @@ def vault_pit_two_satellites(spark, sf_dir):
         "web.events", ["ts", "event_id"],
     )
     sats = vault.split(staged, "user_hk", {"type": ["event_type"], "props": ["props"]}, chunk=None)
-    pit = vault.point_in_time(sats, "user_hk", "2024-01-07", "2024-01-30", "7 days")
+    pit = vault.point_in_time(sats, "user_hk", "2024-01-07", "2024-01-30", every_days=7)
     return texts(pit, "snapshot_date", "type_load_date", "props_load_date")
 
 
@@ -354,10 +359,10 @@ def vault_computed_sat(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").withColumns(
         {"band": F.when(F.col("c_acctbal") >= 5000, "high").otherwise("low"), "in_debt": F.col("c_acctbal") < 0}
     )
-    staged = vault.stage(
-        rows, "customer_hk", ["c_custkey"], F.lit(LOADED), ["band", "in_debt"], "rules.customer", ["band"]
+    sat = vault.satellite(
+        rows, "customer_hk", ["c_custkey"], F.lit(LOADED), ["band", "in_debt"], "rules.customer", ["band"],
+        chunk=None,  # one load date
     )
-    sat = vault.history(staged, "customer_hk", chunk=None)  # one load date
     return sat.select("customer_hk", "hash_diff", "band", "in_debt")
 
 

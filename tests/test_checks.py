@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.operators.checks import Rule, duplicate_keys, excess_copies, load_variance
+from sievework.operators.checks import Rule, excess_copies, load_variance
 from sievework.plans import recommend, suite
 from sievework.operators import keys, profile
 from tests.conftest import rows
@@ -100,7 +100,7 @@ def test_variance_between_loads(spark):
 def test_copies_of_rows_with_nulls(spark):
     df = spark.createDataFrame([(1, None), (1, None), (1, None), (2, "x")], "a INT, b STRING")
     assert rows(excess_copies(df, ["a", "b"])) == [(1, None, 3)]
-    assert rows(duplicate_keys(df, ["a"])) == [(1, 3)]
+    assert rows(excess_copies(df, ["a"])) == [(1, 3)]
 
 
 def test_unknown_rule_type(six):

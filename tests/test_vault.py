@@ -75,6 +75,13 @@ def test_history(spark, chunk):
     assert simple(vault.history(staged(spark, *HISTORY), "hk", chunk)) == EXPECTED
 
 
+@pytest.mark.parametrize("chunk", [None, "day"])
+def test_first_load_equals_staged_history(spark, chunk):
+    df = spark.createDataFrame([(k, d, a, i) for i, (k, d, a) in enumerate(HISTORY)], "k INT, d TIMESTAMP_NTZ, a STRING, i INT")
+    first = vault.satellite(df, "hk", ["k"], F.col("d"), ["a"], "src", ["i"], chunk)
+    assert rows(first) == rows(vault.history(staged(spark, *HISTORY), "hk", None))
+
+
 @pytest.mark.parametrize("chunk", [None, "day"])
 def test_late_rows_find_their_place(spark, chunk):
     early = [r for r in HISTORY if r[1].day not in (3, 5)]
@@ -103,6 +110,13 @@ def test_point_in_time_covers_each_snapshot_once(spark):
     assert got == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5), (7, 5)]
 
 
+def test_snapshots_at_midnight(spark):
+    sat = vault.history(staged(spark, (1, day(1, 5), "a"), (1, day(4, 0), "b"), (1, day(6, 1), "c")), "hk", None)
+    pit = vault.point_in_time({"s": sat}, "hk", "2024-01-01", "2024-01-09", every_days=2)
+    got = sorted((r["snapshot_date"].day, r["s_load_date"].day) for r in pit.collect())
+    assert got == [(3, 1), (5, 4), (7, 6), (9, 6)]
+
+
 def test_names_and_mandatory_columns(spark):
     assert vault.entity_name("satellite", "customer", "details") == "SAT_CUSTOMER_DETAILS"
     df = spark.createDataFrame([(1, 2)], "`Customer ID` INT, loadDate INT")
