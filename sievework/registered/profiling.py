@@ -49,7 +49,7 @@ def column_sql(name: str, relation: str, ordinal: int, column: str, dtype: str,
         count(DISTINCT {column}) AS distinct_count,
         coalesce((SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT CAST({column} AS VARCHAR) AS v
           FROM {relation} WHERE {column} IS NOT NULL ORDER BY v LIMIT 5)), '') AS samples,
-        {num('min')} AS min_num, {num('max')} AS max_num, round({num('avg')}, 6) AS avg_num
+        {num('min')} AS min_num, {num('max')} AS max_num, round({num('avg')} + 1e-9, 6) AS avg_num
       FROM {relation}"""
 
 
@@ -65,7 +65,7 @@ def shown(columns: DataFrame) -> DataFrame:
         "table_name", "row_count", "column_count", "ordinal", "name", "data_type", "null_count", "null_pct",
         "distinct_count", F.array_join("sample_values", "|").alias("samples"),
         F.col("min_num").cast("double").alias("min_num"), F.col("max_num").cast("double").alias("max_num"),
-        F.round("avg_num", 6).alias("avg_num"),
+        F.round(F.col("avg_num") + 1e-9, 6).alias("avg_num"),  # off the ties, where summing order would show
     )
 
 
