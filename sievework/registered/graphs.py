@@ -257,3 +257,17 @@ def synth_with_rules(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey")
     rules = "booking_status must be confirmed or pending; tier must be one of: gold, silver, bronze"
     return synth.generate(rows, F.col("c_custkey"), NAME, specs, seed=SEED, rules=rules)
+
+
+@query(
+    "synth_masked",
+    """
+    SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(c_name, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'n', 'g') AS c_name, c_mktsegment
+    FROM customer WHERE CAST('0x' || substr(md5('5:' || CAST(c_custkey AS VARCHAR)), 1, 8) AS BIGINT) < CAST(floor(0.25 * 4294967296) AS BIGINT)
+    """,
+)
+def synth_masked(spark, sf_dir):
+    """A quarter of the real customers, names masked."""
+    customer = table(spark, sf_dir, "customer")
+    out = synth.masked(customer, F.col("c_custkey"), 0.25, ["c_name"], seed=5)
+    return out.select("c_custkey", "c_name", "c_mktsegment")

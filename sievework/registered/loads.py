@@ -17,12 +17,12 @@ from sievework.streaming import changes, quality
 LOADED = "2024-01-31"
 EVENT_COLUMNS = ["event_id", "user_id", "event_type", "value", "ts"]
 EVENTS_LOADED = """
-    SELECT event_id, user_id, event_type, value, epoch_us(ts) AS ts, '2024-01-31 00:00:00' AS load_date, 'web.events' AS record_source FROM events
+    SELECT event_id, user_id, event_type, value, CAST(ts AS VARCHAR) AS ts, '2024-01-31 00:00:00' AS load_date, 'web.events' AS record_source FROM events
 """
 
 
 def shown(df):
-    return df.withColumns({"ts": F.unix_micros(F.col("ts").cast("timestamp")), "load_date": F.col("load_date").cast("string")})
+    return df.withColumns({c: F.col(c).cast("string") for c in ("ts", "load_date")})
 
 
 def event_spec(spark, sf_dir, load_type: str, **more) -> IngestSpec:
@@ -273,7 +273,7 @@ def stream_quarantine(spark, sf_dir):
 
 @query(
     "stream_apply_changes",
-    "SELECT user_id, event_type, event_id, epoch_us(ts) AS ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "SELECT user_id, event_type, event_id, CAST(ts AS VARCHAR) AS ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
 )
 def stream_apply_changes(spark, sf_dir):
     """The event feed as changes to users: the newest row of each remains."""
@@ -284,7 +284,7 @@ def stream_apply_changes(spark, sf_dir):
         stream, target, ["user_id"], ["ts", "event_id"], f"{folder}/users-checkpoint", availableNow=True
     )
     query_.awaitTermination()
-    return spark.table(target).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
+    return spark.table(target).withColumn("ts", F.col("ts").cast("string"))
 
 
 @query(
