@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.functions.hashing import digest, hash_diff, hash_key, key_text, zero_key
-from sievework.functions.ordered import with_neighbour
+from sievework.functions.ordered import changes, with_neighbour
 
 GHOST_SOURCE = "GHOST"
 GHOST_DATE = "1900-01-01 00:00:00"
@@ -176,11 +176,8 @@ def satellite(
     Works on native keys and attributes throughout; hashes are computed for the rows that remain.
     `parent_key` replaces the hash of `keys`, for satellites on links.
     """
-    step = _chunk(chunk)
     latest = _latest(df, keys, load_date, attributes, tie_break)
-    seen = with_neighbour(latest, keys, "load_date", "a", "_before", step)
-    changed = seen.filter(~F.col("a").eqNullSafe(F.col("_before"))).drop("_before")
-    ended = with_neighbour(changed, keys, "load_date", "load_date", "load_end_date", step, following=True)
+    ended = changes(latest, keys, "load_date", "a", "load_end_date", _chunk(chunk))
     return ended.select(
         (hash_key(*[F.col(k) for k in keys], algo=algo) if parent_key is None else parent_key).alias(parent_hk),
         "load_date",
@@ -218,10 +215,7 @@ def history(staged: DataFrame, parent_hk: str, chunk: str | None = "month") -> D
     Rows of a key are cut into pieces of `chunk` (a date_trunc unit), so a long history of one hot
     key is sorted by many tasks. Use None where load dates are few per key.
     """
-    step = _chunk(chunk)
-    seen = with_neighbour(staged, [parent_hk], "load_date", "hash_diff", "_before", step)
-    changed = seen.filter(F.col("_before").isNull() | (F.col("_before") != F.col("hash_diff"))).drop("_before")
-    ended = with_neighbour(changed, [parent_hk], "load_date", "load_date", "load_end_date", step, following=True)
+    ended = changes(staged, [parent_hk], "load_date", "hash_diff", "load_end_date", _chunk(chunk))
     attributes = [c for c in staged.columns if c not in (parent_hk, "load_date", "record_source", "hash_diff")]
     return ended.select(parent_hk, "load_date", "load_end_date", "record_source", "hash_diff", *attributes)
 
@@ -231,7 +225,8 @@ def merge_history(
 ) -> DataFrame:
     """Whole satellite after a load. Late rows are put in their place.
 
-    Only keys in `staged` are worked out again; a reload of a (key, load date) replaces it.
+    Only keys in `staged` are worked out again; a reload of a (key, load date) replaces it. Both
+    inputs are read more than once: hand in tables, or staged rows cut to the checkpoint folder.
     """
     touched = staged.select(parent_hk).distinct()
     old = existing.drop("load_end_date").join(touched, parent_hk, "left_semi")
@@ -247,9 +242,8 @@ def change_rates(
 
     A guide to splitting satellites.
     """
-    step = _chunk(chunk)
     rows = staged.select(parent_hk, "load_date", F.struct(*attributes).alias("_now"))
-    pairs = with_neighbour(rows, [parent_hk], "load_date", "_now", "_before", step).filter("_before IS NOT NULL")
+    pairs = with_neighbour(rows, [parent_hk], "load_date", "_now", "_before", _chunk(chunk)).filter("_before IS NOT NULL")
     rates = [
         F.struct(
             F.lit(a).alias("attribute"),

@@ -9,7 +9,9 @@ from sievework.functions.hashing import hash_key
 from sievework.operators import recon, vault
 from sievework.operators.profile import profile_tables
 from sievework.plans import warehouse
-from sievework.registered.registry import query, table, tables
+from sievework.registered.registry import query, scratch_schema, table, tables
+from sievework.session import cut
+from sievework.sources import sinks
 
 LOADED = "2024-01-01"
 ZERO = "0" * 64
@@ -133,9 +135,12 @@ def vault_sat_user_events(spark, sf_dir):
 def vault_sat_merge(spark, sf_dir):
     """Two loads, the second repeating a day of the first, give the history of one load."""
     events = table(spark, sf_dir, "events")
+    schema, _ = scratch_schema(spark)
     first = vault.history(user_days(spark, sf_dir, events.filter("ts < '2024-01-15'")), "user_hk", chunk=None)
-    second = user_days(spark, sf_dir, events.filter("ts >= '2024-01-14'"))
-    return texts(vault.merge_history(first, second, "user_hk", chunk=None), "load_date", "load_end_date")
+    sinks.full_refresh(first, f"{schema}.sat_user")
+    second = cut(user_days(spark, sf_dir, events.filter("ts >= '2024-01-14'")))
+    merged = vault.merge_history(spark.table(f"{schema}.sat_user"), second, "user_hk", chunk=None)
+    return texts(merged, "load_date", "load_end_date")
 
 
 @query(

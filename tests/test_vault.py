@@ -4,10 +4,12 @@ import datetime
 import hashlib
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sievework.functions.hashing import diff_text, hash_key, key_text
-from sievework.functions.ordered import with_neighbour
+from sievework.functions.ordered import changes, with_neighbour
 from sievework.operators import mapping, recon, vault
 from tests.conftest import rows
 
@@ -97,10 +99,21 @@ def test_late_rows_find_their_place(spark, chunk):
 def test_neighbours_in_chunks_equal_those_of_one_window(spark):
     df = spark.range(3000).selectExpr("CAST(id % 3 AS INT) AS k", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id * id % 9973 * 7) AS t", "id")
     df = df.dropDuplicates(["k", "t"])
-    for following in (False, True):
-        whole = with_neighbour(df, ["k"], "t", "id", "near", following=following)
-        pieces = with_neighbour(df, ["k"], "t", "id", "near", F.date_trunc("hour", "t"), following=following)
-        assert rows(whole) == rows(pieces)
+    whole = with_neighbour(df, ["k"], "t", "id", "near")
+    pieces = with_neighbour(df, ["k"], "t", "id", "near", F.date_trunc("hour", "t"))
+    assert rows(whole) == rows(pieces)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 400), st.sampled_from("ab")), min_size=1, max_size=120))
+def test_changes_in_chunks_equal_those_of_one_window(spark, given_rows):
+    known = {(k or None, m): v for k, m, v in given_rows}
+    df = spark.createDataFrame(
+        [(k, day(1) + datetime.timedelta(minutes=m), v) for (k, m), v in known.items()], "k INT, t TIMESTAMP_NTZ, v STRING"
+    )
+    whole = changes(df, ["k"], "t", "v", "until")
+    pieces = changes(df, ["k"], "t", "v", "until", F.date_trunc("hour", "t"))
+    assert rows(whole) == rows(pieces)
 
 
 def test_point_in_time_covers_each_snapshot_once(spark):
