@@ -24,7 +24,8 @@ def strip(c: Column) -> Column:
 def occurrences(lowered: Column, word: str) -> Column:
     """Non-overlapping occurrences of a lower-case word in lower-cased text."""
     rest = F.replace(lowered, F.lit(word), F.lit(""))
-    return ((F.length(lowered) - F.length(rest)) / F.lit(len(word))).cast("bigint")
+    size = len(word.encode())
+    return ((F.octet_length(lowered) - F.octet_length(rest)) / F.lit(size)).cast("bigint")
 
 
 def tokens(c: Column) -> Column:

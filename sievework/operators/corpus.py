@@ -56,9 +56,8 @@ def chunks(
     return packed.select("doc_id", F.posexplode(F.transform("_starts", passage)).alias("chunk_no", "chunk"))
 
 
-def score(chunk: Column, keywords: list[str]) -> Column:
-    """Occurrences of the keywords, case ignored; 0 without keywords."""
-    lowered = F.lower(chunk)
+def score(lowered: Column, keywords: list[str]) -> Column:
+    """Occurrences of the keywords in lower-cased text; 0 without keywords."""
     total = F.lit(0).cast("bigint")
     for word in [k.lower() for k in keywords if k]:
         total = total + occurrences(lowered, word)
@@ -66,15 +65,17 @@ def score(chunk: Column, keywords: list[str]) -> Column:
 
 
 def top_k(chunk_rows: DataFrame, queries: dict[str, list[str]], k: int = MAX_CHUNKS) -> DataFrame:
-    """The k best passages per query, ties in document order.
+    """The k best passages per query, case ignored, ties in document order.
 
     queries are keyword lists of a few questions, part of the plan. Each task keeps its own k best
     before the shuffle.
     """
+    lowered = F.col("_lowered")
     scores = F.array(
-        *[F.struct(F.lit(q).alias("query"), score(F.col("chunk"), words).alias("score")) for q, words in queries.items()]
+        *[F.struct(F.lit(q).alias("query"), score(lowered, words).alias("score")) for q, words in queries.items()]
     )
-    scored = chunk_rows.select("doc_id", "chunk_no", "chunk", F.explode(scores).alias("s")).select(
+    prepared = chunk_rows.select("doc_id", "chunk_no", "chunk", F.lower("chunk").alias("_lowered"))
+    scored = prepared.select("doc_id", "chunk_no", "chunk", F.explode(scores).alias("s")).select(
         "s.query", "s.score", "doc_id", "chunk_no", "chunk"
     )
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id", "chunk_no"))

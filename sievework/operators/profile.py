@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.sources import catalog
+from sievework.sources import catalog, files
 
 SAMPLES = 5
 LIVE, FROM_METADATA, NO_STATS = "live", "metadata", "none"
@@ -63,7 +63,7 @@ def profile(
         ],
         COLUMN_INFO,
     )
-    data = df if sample_rows is None else df.limit(sample_rows).persist()
+    data = df if sample_rows is None else files.sample_rows(df, sample_rows).persist()
     stats = _sketched(data) if approx else _exact(data, k)
     whole = F.col("s.rows")
     if sample_rows is not None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,6 +136,3 @@ def to_rules(rules: DataFrame) -> list[Rule]:
         ).collect()
     ]
 
-
-def values_param(values: list) -> str:
-    return json.dumps(values)

@@ -329,7 +329,7 @@ def table_names(spark, sf_dir):
     """Rows per table, named by the file they came from."""
     out = None
     for name in COLUMNS:
-        one = files.with_table_name(table(spark, sf_dir, name)).groupBy("table_name").agg(F.count("*").alias("n"))
+        one = files.with_table_name(table(spark, sf_dir, name), sf_dir).groupBy("table_name").agg(F.count("*").alias("n"))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("table_name").agg(F.sum("n").alias("n"))
 

@@ -40,14 +40,14 @@ def table_name(path: str) -> str:
     return path.rstrip("/").split("/")[-1].split(".")[0] or "file_table"
 
 
-def table_name_of(path: Column) -> Column:
-    """The same rule as an expression, for loads over many tables' files."""
-    name = F.regexp_extract(path, r"([^/.]*)[^/]*/*$", 1)
-    return F.when(name == "", F.lit("file_table")).otherwise(name)
+def table_name_of(path: Column, root: str) -> Column:
+    """The same rule for files below a root that holds one file or folder per table."""
+    below = root.split("://")[-1].rstrip("/")
+    return F.regexp_extract(path, rf"\Q{below}\E/+([^/.]*)", 1)
 
 
-def with_table_name(df: DataFrame, out: str = "table_name") -> DataFrame:
-    return df.withColumn(out, table_name_of(F.col("_metadata.file_path")))
+def with_table_name(df: DataFrame, root: str, out: str = "table_name") -> DataFrame:
+    return df.withColumn(out, table_name_of(F.col("_metadata.file_path"), root))
 
 
 def sample_rows(df: DataFrame, rows: int = 10_000) -> DataFrame:

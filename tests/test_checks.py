@@ -181,3 +181,24 @@ def test_rule_statements_give_the_suite_counts(spark, profiled):
     assert len(statements) == len(counts) > 10
     for s in statements:
         assert spark.sql(s["sql"]).first()[0] == counts[(s["table_name"], s["rule_id"])], s["sql"]
+
+
+def test_ids_follow_priority(spark):
+    df = spark.createDataFrame(
+        [("t", "P2", "A", "x"), ("t", "P1", "B", "y"), ("u", "P3", "C", None)],
+        "table_name STRING, priority STRING, rule_type STRING, column_name STRING",
+    )
+    got = {(r["table_name"], r["rule_id"]): r["rule_type"] for r in suite.with_ids(df, "TC").collect()}
+    assert got == {("t", "TC_001"): "B", ("t", "TC_002"): "A", ("u", "TC_001"): "C"}
+
+
+def test_covers(spark, six):
+    assert [r.column for r in suite.null_cover("t", six)] == six.columns
+    kinds = [r.rule_type for r in suite.boundary_cover("t", six)]
+    assert (kinds.count("ALL_NULL"), kinds.count("NUMERIC_MAX"), kinds.count("EMPTY_SOURCE")) == (5, 2, 1)
+
+
+def test_attach_drops_tables_without_rules(spark):
+    rules = spark.createDataFrame([("t", '[{"rule_type": "NOT_NULL", "column": "id"}]')], "table_name STRING, rules STRING")
+    tables = spark.createDataFrame([("t",), ("t",), ("u",)], "table_name STRING")
+    assert rows(suite.attach(rules, tables).select("table_name", "rule_type", "column_name")) == [("t", "NOT_NULL", "id")]

@@ -120,10 +120,15 @@ def test_catalog_scan(spark, schema):
 
 def test_table_names(spark):
     names = {"/a/b/orders.parquet": "orders", "/a/b/events/": "events", "x.tar.gz": "x", "": "file_table", "/": "file_table"}
-    df = spark.createDataFrame([(p,) for p in names], "p STRING")
-    got = {r[0]: r[1] for r in df.select("p", files.table_name_of(df["p"])).collect()}
-    assert got == names
     assert {p: files.table_name(p) for p in names} == names
+    paths = {"file:///a.b/orders.parquet/part-0.c000": "orders", "file:///a.b/events.csv": "events", "s3://k/a.b/t/x/y.csv": "t"}
+    df = spark.createDataFrame([(p,) for p in paths], "p STRING")
+    got = {r[0]: r[1] for r in df.select("p", files.table_name_of(df["p"], "/a.b/")).collect()}
+    assert got == paths
+
+
+def test_sample_of_given_size(spark):
+    assert files.sample_rows(spark.range(100), 7).count() == 7
 
 
 def test_formats(spark, tmp_path):
