@@ -9,10 +9,6 @@ from pyspark.sql import types as T
 from sievework.operators import checks
 from sievework.operators.checks import Rule
 
-RESULT_COLUMNS = (
-    "rule_id", "table_name", "rule_type", "column_name", "priority", "fail_action",
-    "monitoring_label", "failures", "passed",
-)
 LABEL_LENGTH = 40
 
 

@@ -92,6 +92,15 @@ def test_load_types(spark, landing):
         ingest.run(spark, spec("merge", schema=spark.range(1).schema))
 
 
+def test_one_load_per_table(spark, landing):
+    land, spec = landing
+    land((1, "a"))
+    first = spec("full")
+    second = IngestSpec(**{**first.__dict__, "table": "u", "load_type": "incremental"})
+    assert ingest.run_all(spark, [first, second]) == []
+    assert rows(spark.table(second.target)) == rows(spark.table(first.target)) == [(1, "a")]
+
+
 def test_paths():
     s = IngestSpec("orders", checkpoint_base="/chk")
     assert (s.path, s.checkpoint, s.schema_path, s.target) == (
@@ -229,6 +238,11 @@ def test_synthetic_rows_do_not_depend_on_partitions(spark):
     assert not few.drop("attrs").exceptAll(other.drop("attrs")).isEmpty()
 
 
+def test_specs_from_a_schema(spark):
+    schema = spark.createDataFrame([], "user_id BIGINT, at DATE").schema
+    assert synth.specs_of(schema) == [ColumnSpec("user_id", "bigint"), ColumnSpec("at", "date")]
+
+
 def test_every_type_can_be_made(spark):
     types = ["tinyint", "smallint", "int", "bigint", "float", "double", "decimal(5,1)", "boolean", "date", "timestamp", "timestamp_ntz", "binary", "struct<a:int>"]
     df = synth.table(spark, "t", [ColumnSpec(f"c{i}", t) for i, t in enumerate(types)], rows=20)
