@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from sievework.registered import load_all
 from tests.oracle import compare, connect
 
 
@@ -11,7 +12,7 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(load_all()[0]))
 def test_query(key, spark, sf_dir, con):
     df = entry.queries()[key](spark, sf_dir)
     sql = entry.oracle_sql().get(key)
