@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import hilbert, packing, prefix_counts, token_files
+from sievework.llm import hilbert, packing, prefix_counts, simhash, token_files
 from sievework.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,12 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), packing.WINDOW, END_ID)
 
 
+@query("op7_simhash_groups")
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.grouped(table(spark, sf_dir, "documents"), max_bits=3, words=3, seed=42)
+    return groups.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 @query("op10_prefix_counts")
 def prefix_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = prefix_counts.prefix_table(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
