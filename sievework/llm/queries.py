@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import hilbert, packing, prefix_counts, simhash, token_files
+from sievework.llm import hilbert, packing, prefix_counts, simhash, token_files, warc
 from sievework.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,27 @@ def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder, [p for p, _, _ in parts], path)
 
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS first FROM p),
+d AS (
+  SELECT *, list_aggregate(list_transform(range(8), lambda g: list_aggregate(list_transform([15, 10, 5, 0], lambda s:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha, CAST(5 * g + 1 AS INT), 5))::INT >> s) & 31), 1)
+  ), 'string_agg', '')), 'string_agg', '') AS digest FROM f
+)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, true AS complete
+FROM d
+"""
+
+
+@query("op3_warc", WARC_SQL)
+def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = warc.write(table(spark, sf_dir, "pages"), shared_folder(spark, "warc"), least_bytes=0)
+    return warc.reassemble(warc.read_records(spark, paths))
+
+
 @query("op4_packing")
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), packing.WINDOW, END_ID)
