@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sievework.llm.common import Batches, documents_of, slices
 
 MARK = "▁"
-CACHE_PARTS = 600_000
+CACHE_PARTS = 300_000
 LONG_PART = 64
 SCHEMA = "doc_id long, n_bytes long, ends array<int>, counts array<int>"
 _PARTS = re.compile(r"\n[^ \n]*|[ ]*[^ \n]+|[ ]+")
@@ -50,9 +50,6 @@ class PieceCounter:
 
     def learn(self, parts: set[str]) -> None:
         """parts begin with their spaces or their line feed."""
-        if len(self.table) > CACHE_PARTS:
-            self.table.clear()
-            parts = set(parts)
         new = [p for p in parts if p not in self.table]
         # The model puts a space before whatever it is given: that is the part's first space, or, before a
         # line feed, a token of its own.
@@ -60,6 +57,10 @@ class PieceCounter:
         for part, n in zip(new, counts):
             self.table[part] = 1 if part == " " else n - (part[0] == "\n")
 
+    def make_room(self) -> None:
+        if len(self.table) > CACHE_PARTS:
+            self.table.clear()
+
     def forget_long(self, parts: set[str]) -> None:
         for part in parts:
             if len(part) > LONG_PART:
@@ -85,7 +86,8 @@ def piece_counter(path: str) -> PieceCounter:
 def prefix_arrays(counter: PieceCounter, texts: list[str]) -> list[tuple[list[int], list[int]]]:
     """(where parts end in characters, tokens up to there) of each text."""
     cut = [counter.cut(t) for t in texts]
-    counter.learn({p for parts in cut for p in parts if p not in counter.table})
+    counter.make_room()
+    counter.learn({p for parts in cut for p in parts})
     table, out = counter.table, []
     for parts in cut:
         end, total, ends, counts = -1, 0, [], []  # the leading space is not of the text
