@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import hilbert, packing, prefix_counts, simhash, token_files, warc
+from sievework.llm import decontam, hilbert, packing, prefix_counts, simhash, token_files, warc
 from sievework.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,35 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+DECONTAMINATION_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), i AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), grams AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS g
+  FROM i, unnest(range(1, 2 + len(w) - least(len(w), 10))) t(k) WHERE len(w) > 0
+), lengths AS (SELECT DISTINCT n FROM grams), known AS (SELECT DISTINCT n, g FROM grams),
+runs AS (
+  SELECT doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS g FROM d, lengths, unnest(range(1, len(w) - n + 2)) t(k)
+), hits AS (SELECT doc_id, k, n, g FROM runs JOIN known USING (n, g)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(k, k + n)) t(p) GROUP BY doc_id),
+items AS (SELECT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits JOIN grams USING (n, g) GROUP BY ALL),
+listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM items GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
+
+@query("op8_decontamination", DECONTAMINATION_SQL)
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", decontam.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
+
+
 @query("op10_prefix_counts")
 def prefix_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = prefix_counts.prefix_table(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
