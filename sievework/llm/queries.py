@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import decontam, hilbert, packing, prefix_counts, simhash, token_files, warc
+from sievework.llm import decontam, hilbert, packing, pivots, prefix_counts, simhash, token_files, warc
 from sievework.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,11 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), packing.WINDOW, END_ID)
 
 
+@query("op6_pivot_index")
+def pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"), least_cosine=0.9)
+
+
 @query("op7_simhash_groups")
 def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.grouped(table(spark, sf_dir, "documents"), max_bits=3, words=3, seed=42)
