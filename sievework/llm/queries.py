@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import decontam, hilbert, packing, pivots, prefix_counts, simhash, token_files, warc
+from sievework.llm import decontam, hilbert, packing, pivots, prefix_counts, simhash, token_files, toxicity, warc
 from sievework.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,15 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), packing.WINDOW, END_ID)
 
 
+@query("op5_toxicity")
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scorer = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return docs.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), toxicity.score(F.col("text"), scorer).alias("score")
+    ).withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 @query("op6_pivot_index")
 def pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"), least_cosine=0.9)
