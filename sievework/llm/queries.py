@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import decontam, hilbert, packing, pivots, prefix_counts, simhash, token_files, toxicity, warc
+from sievework.llm import decontam, hilbert, packing, pivots, prefix_counts, secret_forest, simhash, token_files, toxicity, warc
 from sievework.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,6 +133,12 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontam.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+@query("op9_secret_forest")
+def secret_forest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secret_forest.train(secret_forest.generated_findings(spark))
+    return secret_forest.findings(table(spark, sf_dir, "documents"), forest, path_col="source")
+
+
 @query("op10_prefix_counts")
 def prefix_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = prefix_counts.prefix_table(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))

@@ -210,7 +210,7 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
     forms = F.transform("words", lambda w: F.concat(F.lit("="), w))
     entries = rows.select("toxic", words.alias("words")).select("toxic", F.explode(F.array_distinct(F.concat(forms, *stems))).alias("entry"))
     n_toxic, n_clean = F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1))
-    seen = entries.groupBy("entry").agg(n_toxic.alias("t"), n_clean.alias("c")).where(F.col("t") >= max(3, toxic // 200))
+    seen = entries.groupBy("entry").agg(n_toxic.alias("t"), n_clean.alias("c")).where(F.col("t") >= max(3, toxic // 100))
     weight = F.log((F.col("t") + 0.1) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
     best = seen.withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT).orderBy((F.col("w") * F.col("t")).desc(), "entry").limit(size)
     return {r["entry"]: r["w"] for r in best.select("entry", "w").collect()}
