@@ -9,101 +9,139 @@ library's own in every case.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from functools import lru_cache
-from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-_NEARLY_BLANK = "\u180e\u200b\ufeff"
-_CUT = re.compile(rf"(?<=[^\s{_NEARLY_BLANK}]) (?=[^\s{_NEARLY_BLANK}])")
-_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([.,;:!?|]+)")
+BLANKS = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+IRREGULAR = (*BLANKS, "  ", " \n", "\n ", "\n\n")
+_CUT = re.compile(rf"(?<=[^\s{BLANKS}]) (?=[^\s{BLANKS}])")
+_UNIT = re.compile(r"(\n?)([^\W\d_]+)([.,;:!?|]*)")
 
 LONG_UNIT = 64
 CACHE_UNITS = 400_000
-BATCH_CHARS = 4_000_000
-
-
-class WordTable(dict):
-    """Part of a text -> its ids as little-endian bytes."""
+BATCH_CHARS = 6_000_000
 
 
 class ByteLevelEncoder:
-    """ids of whole texts as little-endian bytes, 2 or 4 to an id, without added special tokens."""
+    """ids of whole texts as little-endian bytes, 2 or 4 to an id, without added special tokens.
+
+    units: a part of a text -> its ids. A part that begins with a line feed stands at the start of a line;
+    any other follows a space, which is encoded with it.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
             self.by_word = _splits_at_spaces(json.load(f))
-        self.spaced, self.bare = WordTable(), WordTable()
+        self.feed = self.ids(["\n"])[0]
+        self.units: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text (an empty text has none)."""
-        return [x.tobytes() for x in map(self._array, self.tokenizer.encode_batch(texts, add_special_tokens=False))]
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
+        if not self.by_word or len(self.feed) != self.dtype.itemsize:
             return self.ids(texts)
         out: list[bytes] = []
         begin = size = 0
-        for end, text in enumerate(texts, 1):
-            size += len(text)
-            if size >= BATCH_CHARS or end == len(texts):
-                out += self._encode(texts[begin:end])
-                begin, size = end, 0
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and the lists are long
+        try:
+            for end, text in enumerate(texts, 1):
+                size += len(text)
+                if size >= BATCH_CHARS or end == len(texts):
+                    out += self._encode(texts[begin:end])
+                    begin, size = end, 0
+        finally:
+            if collects:
+                gc.enable()
         return out
 
-    def _array(self, encoding) -> np.ndarray:
-        return np.array(encoding.ids, dtype=self.dtype)
-
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.spaced) + len(self.bare) > CACHE_UNITS:
-            self.spaced.clear()
-            self.bare.clear()
-        cut = [_lines(text) for text in texts]
-        spaced, bare = self.spaced, self.bare
-        new = {u for lines in cut for parts in lines for u in islice(parts, 1, None) if u not in spaced}
-        first = {parts[0] for lines in cut for parts in lines if parts[0] not in bare}
-        self._learn(bare, first | {"\n"}.difference(bare), "")
-        self._learn(spaced, new, " ")
-        feed = bare["\n"]
+        if len(self.units) > CACHE_UNITS:
+            self.units.clear()
+            self.pieces = {"": b""}
+        # A text with irregular white space keeps its line feeds inside its parts.
+        odd = {i: parts for i, t in enumerate(texts) if (parts := _irregular_units(t))}
+        plain = pa.array(["" if i in odd else ("\n" + t).replace("\n", " \n")[1:] for i, t in enumerate(texts)], pa.large_string())
+        cut = pc.split_pattern(plain, " ")
+        coded = cut.values.dictionary_encode()
+        parts, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        known = list(map(self.units.get, parts))
+        new = {u for u, ids in zip(parts, known) if ids is None}.union(*odd.values()).difference(("",))
+        self._learn({u for u in new if u not in self.units})
+        table = self.units
+        known = [ids if ids is not None else table[u] if u else b"" for u, ids in zip(parts, known)]
+        # Lay the ids of the parts side by side: for each id of the result, its place among the distinct parts' ids.
+        width = self.dtype.itemsize
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // width
+        begins, lengths = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        flat = np.frombuffer(b"".join(known), self.dtype)[np.arange(ends[-1]) + np.repeat(begins - ends[:-1], lengths)].tobytes()
+        bounds = (ends[cut.offsets.to_numpy()] * width).tolist()
+        lead = len(self.feed)  # the line feed put before the text
         out = [
-            feed.join([bare[parts[0]] + b"".join([spaced[u] for u in islice(parts, 1, None)]) for parts in lines])
-            for lines in cut
+            b"".join([table[u] for u in odd[i]])[lead:] if i in odd else flat[b + lead : e]
+            for i, (b, e) in enumerate(zip(bounds, bounds[1:]))
         ]
-        for table, used in ((spaced, new), (bare, first)):
-            for unit in used:
-                if len(unit) > LONG_UNIT:
-                    del table[unit]
+        for unit in new:
+            if len(unit) > LONG_UNIT:
+                table.pop(unit, None)
         return out
 
-    def _learn(self, table: WordTable, units: set[str], before: str) -> None:
-        composed = [(u, *m.groups()) for u in units if (m := _WORD_AND_MARKS.fullmatch(u))]
-        words = units.difference(u for u, _, _ in composed).union(w for _, w, _ in composed if w not in table)
-        marks = {m for _, _, m in composed if m not in self.bare}
-        table.update(self._lookup(list(words), before))
-        self.bare.update(self._lookup(list(marks), ""))
-        for unit, word, mark in composed:
-            table[unit] = table[word] + self.bare[mark]
-
-    def _lookup(self, units: list[str], before: str) -> list[tuple[str, bytes]]:
-        """ids of parts. Plain words are laid out a line each, so one call of the library serves them all."""
-        plain = [u for u in units if u.isalpha()]
-        other = [u for u in units if not u.isalpha()]
-        found = list(zip(other, self.ids([before + u if u else "" for u in other]))) if other else []
-        if plain:
-            feed = self.ids(["\n"])[0]
-            ids = self._array(self.tokenizer.encode("".join([f"{before}{u}\n" for u in plain]), add_special_tokens=False))
-            ends = np.flatnonzero(ids == np.frombuffer(feed, self.dtype)[0])
-            if len(feed) != self.dtype.itemsize or len(ends) != len(plain):
-                return found + list(zip(plain, self.ids([before + u for u in plain])))
-            width, raw = self.dtype.itemsize, ids.tobytes()
-            ends = (ends * width).tolist()
-            found += [(u, raw[i:j]) for u, i, j in zip(plain, [0] + [e + width for e in ends], ends)]
-        return found
+    def _learn(self, new: set[str]) -> None:
+        pieces, other, split = self.pieces, [], []
+        for unit in new:
+            m = _UNIT.fullmatch(unit)
+            if m:
+                split.append((unit, *m.groups()))
+            else:
+                other.append(unit)
+        # A run of letters, with the space before it or not, and a run of marks are one run each to the merges.
+        missing = {word if feed else " " + word for _, feed, word, _ in split} | {marks for *_, marks in split}
+        missing.difference_update(pieces)
+        tokenize, width, flat, ends = self.tokenizer.model.tokenize, self.dtype.itemsize, [], []
+        for piece in missing:
+            flat += [t.id for t in tokenize(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+            ends.append(len(flat) * width)
+        raw = np.array(flat, self.dtype).tobytes()
+        pieces.update(zip(missing, [raw[i:j] for i, j in zip([0, *ends], ends)]))
+        for unit, feed, word, marks in split:
+            self.units[unit] = (self.feed + pieces[word] if feed else pieces[" " + word]) + pieces[marks]
+        if len(pieces) > CACHE_UNITS:
+            self.pieces = {"": b""}
+        rest = [u[1:] if u[0] == "\n" else " " + u for u in other]
+        self.units.update(zip(other, [self.feed + x if u[0] == "\n" else x for u, x in zip(other, self.ids(rest))]))
+
+
+def _irregular_units(text: str) -> list[str] | None:
+    """The parts of a text with white space other than single spaces and line feeds, a line feed put before
+    it; None if the text has none such."""
+    if text and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in IRREGULAR):
+        return None
+    parts = _CUT.split(text)
+    return ["\n" + parts[0], *parts[1:]]
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it is printable, else
+    the next one from 256 on."""
+    kept = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    rest = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 def _lines(text: str) -> list[list[str]]:
