@@ -27,7 +27,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that SimHash links: shingles of 3 words, 3 bits at most."""
-    return simhash.one_of_each(docs, simhash.grouped(docs, max_bits=3, words=3, seed=42))
+    return simhash.one_of_each(docs, max_bits=3, words=3, seed=42)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ NULL doc_ids belong to their class and are no one's component_id unless all of a
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -124,36 +125,42 @@ def links(classes: DataFrame, max_bits: int = 3) -> DataFrame:
 
 def grouped(docs: DataFrame, max_bits: int = 3, words: int = 3, seed: int = 42,
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id: a row per document."""
+    """doc_id, fp, component_id, group (the smallest fp of the component): a row per document."""
     rows = cut(fingerprints(docs, words, seed, id_col, text_col))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(classes.select("fp"), max_bits))
-    placed = classes.join(found, classes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    placed = classes.join(found, classes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
     placed = cut(placed)
-    smallest = cut(placed.groupBy("component").agg(F.min("least").alias("component_id")))
-    by_fp = cut(placed.join(smallest, "component").select("fp", "component_id"))
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    smallest = cut(placed.groupBy("group").agg(F.min("least").alias("component_id")))
+    by_fp = cut(placed.join(smallest, "group").select("fp", "component_id", "group"))
+    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id", "group")
 
 
-def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay: of each group the row with the smallest doc_id.
+def one_of_each(docs: DataFrame, max_bits: int = 3, words: int = 3, seed: int = 42,
+                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay: of each group the row with the smallest doc_id (NULL last).
 
-    Rows that share that doc_id are told apart by their whole content; equal rows count as one. Only such
-    rows are grouped with their texts. Rows of a group without any doc_id are all kept but for repeats.
+    A row is known by its doc_id. Where ids repeat or are NULL, by its fingerprint as well, and of rows that
+    agree in both the least one stays; only those rows are fingerprinted again and grouped with their texts.
     """
-    chosen = (
-        groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_n"))
+    groups = cut(grouped(docs, max_bits, words, seed, id_col, text_col))
+    least = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k"))
+    chosen = cut(least.select(F.col("k.doc_id").alias("_id"), F.col("k.fp").alias("_fp")))
+    unclear = cut(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id")))
+    own = docs[id_col].cast("long")
+    if unclear.isEmpty():
+        return docs.join(chosen, own == F.col("_id"), "left_semi")
+    clear = docs.join(unclear, own.eqNullSafe(F.col("_id")), "left_anti").join(chosen, own == F.col("_id"), "left_semi")
+
+    @F.pandas_udf("long")
+    def again(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, words, seed) for t in texts.fillna("")], np.uint64).view(np.int64))
+
+    several = docs.join(unclear, own.eqNullSafe(F.col("_id")), "left_semi").select(
+        F.struct(*docs.columns).alias("_row"), docs[id_col].cast("long").alias("_own"), again(docs[text_col].cast("string")).alias("_print")
     )
-    chosen = cut(chosen)
-    plain = docs.join(chosen.where("_n = 1"), docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
-    if chosen.where("_n > 1").isEmpty():
-        return plain
-    several = docs.join(chosen.where("_n > 1"), docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
-    body = F.struct(*[F.col(c) for c in docs.columns])
-    # A shared doc_id may stand for several groups; the one row kept for it is the least.
-    least = several.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(body).alias("_row")).select("_row.*")
-    return plain.unionByName(least.select(*docs.columns)).unionByName(several.where(F.col(id_col).isNull()).distinct())
+    held = several.join(chosen, several["_own"].eqNullSafe(chosen["_id"]) & (several["_print"] == chosen["_fp"]), "left_semi")
+    return clear.unionByName(held.groupBy("_own", "_print").agg(F.min("_row").alias("_row")).select("_row.*"))
 
 
 def hexadecimal(fp: Column) -> Column:
