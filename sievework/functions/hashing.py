@@ -18,10 +18,24 @@ def digest(text: Column, algo: str = "sha256") -> Column:
     raise ValueError(f"unknown hash '{algo}', choose from {sorted(DIGEST_HEX_LENGTH)}")
 
 
+def _escaped(text: Column) -> Column:
+    r"""Text in which the separator and the backslash are marked, so joined parts cannot run together."""
+    text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    return F.replace(text, F.lit(KEY_SEPARATOR), F.lit("\\" + KEY_SEPARATOR))
+
+
 def key_text(*parts: Column) -> Column:
-    """Upper-cased, trimmed key text; a NULL part becomes N/A before the join, so it keeps its place."""
-    clean = [F.upper(F.trim(F.coalesce(p.cast("string"), F.lit(NULL_KEY)))) for p in parts]
-    return F.concat_ws(KEY_SEPARATOR, *clean)
+    r"""Upper-cased, trimmed key text; a NULL part becomes N/A, so it keeps its place.
+
+    Separators inside a part are escaped, and a part that reads N/A itself becomes \N/A: different keys
+    have different texts. Keys without such characters read as they are.
+    """
+
+    def clean(part: Column) -> Column:
+        text = _escaped(F.upper(F.trim(part.cast("string"))))
+        return F.coalesce(F.when(text == NULL_KEY, F.lit("\\" + NULL_KEY)).otherwise(text), F.lit(NULL_KEY))
+
+    return F.concat_ws(KEY_SEPARATOR, *[clean(p) for p in parts])
 
 
 def hash_key(*parts: Column, algo: str = "sha256", binary: bool = False) -> Column:
@@ -37,12 +51,7 @@ def zero_key(algo: str = "sha256", binary: bool = False) -> Column:
 
 def diff_text(*parts: Column) -> Column:
     r"""Attribute text for change detection: case and blanks count, NULL is \N, separators are escaped."""
-
-    def escaped(c: Column) -> Column:
-        text = F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\"))
-        return F.coalesce(F.replace(text, F.lit(KEY_SEPARATOR), F.lit("\\" + KEY_SEPARATOR)), F.lit("\\N"))
-
-    return F.concat_ws(KEY_SEPARATOR, *[escaped(p) for p in parts])
+    return F.concat_ws(KEY_SEPARATOR, *[F.coalesce(_escaped(p.cast("string")), F.lit("\\N")) for p in parts])
 
 
 def hash_diff(*parts: Column, algo: str = "sha256") -> Column:

@@ -61,10 +61,11 @@ def unfenced(text: Column) -> Column:
 
 
 def parsed(results: DataFrame, schema: str, text: str = "output") -> DataFrame:
-    """Documents that parse, as column `doc`. A list stands for its first item."""
+    """Documents that parse, as column `doc`; a list gives a row for each of its items."""
     body = unfenced(F.col(text))
-    one = F.when(body.startswith("["), F.get(F.from_json(body, "ARRAY<STRING>"), F.lit(0))).otherwise(body)
-    return results.withColumn("doc", F.from_json(one, schema)).filter(F.col("doc").isNotNull())
+    each = F.when(body.startswith("["), F.from_json(body, "ARRAY<STRING>")).otherwise(F.array(body))
+    items = results.withColumn("doc", F.explode(each))
+    return items.withColumn("doc", F.from_json("doc", schema)).filter(F.col("doc").isNotNull())
 
 
 def _is_readable(text: Column) -> Column:
@@ -139,9 +140,8 @@ def lineage_edges(results: DataFrame, keep: list[str] | None = None) -> DataFram
 
 
 def lineage_nodes(results: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Nodes of graphs that have no edges."""
-    edgeless = F.coalesce(F.size("doc.lineage_graph.edges"), F.lit(0)) <= 0
-    rows = parsed(results, LINEAGE).filter(edgeless)
+    """One row per node of every graph, whether it has edges or not."""
+    rows = parsed(results, LINEAGE)
     keep = keep or []
     return rows.select(*keep, F.explode("doc.lineage_graph.nodes").alias("n")).select(*keep, "n.*")
 

@@ -98,12 +98,6 @@ ROW_RULES: dict[str, Callable[..., Column]] = {
 }
 
 
-def _unique(rule: Rule, **_) -> Column:
-    cols = [F.col(c) for c in rule.columns]
-    # a struct keeps keys that have a NULL part; a plain column counts each NULL as a failure
-    return F.count("*") - F.count_distinct(cols[0] if len(cols) == 1 else F.struct(*cols))
-
-
 def _freshness(rule: Rule, as_of, **_) -> Column:
     hours = int(rule.params.get("hours", FRESH_HOURS))
     limit = _instant(as_of) - F.make_dt_interval(hours=F.lit(hours))
@@ -116,7 +110,6 @@ def _ratio(rule: Rule, **_) -> Column:
 
 
 TABLE_RULES: dict[str, Callable[..., Column]] = {
-    "UNIQUE": _unique,
     "ROW_COUNT": lambda rule, **_: F.when(F.count("*") <= int(rule.params.get("min", 0)), 1).otherwise(0),
     "EMPTY_SOURCE": lambda rule, **_: F.when(F.count("*") == 0, 1).otherwise(0),
     "ALL_NULL": lambda rule, **_: F.when((F.count("*") > 0) & (F.count(rule.columns[0]) == 0), 1).otherwise(0),
@@ -161,6 +154,19 @@ def _referential(rule: Rule, tables: dict[str, DataFrame], nulls_fail: bool) ->
     return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("failures"))
 
 
+def _unique(rule: Rule, tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows beyond the first of each key. A plain column counts each NULL as a failure; a key with a NULL
+    part is a key. Only keys and their counts move, and no other rule's counters with them."""
+    counts = tables[rule.table].groupBy(*rule.columns).agg(F.count("*").alias("n"))
+    known = F.col(rule.columns[0]).isNotNull() if len(rule.columns) == 1 else F.lit(True)
+    return counts.agg(F.coalesce(F.sum(F.col("n") - F.when(known, 1).otherwise(0)), F.lit(0)).alias("failures"))
+
+
+def row_digest(columns: list[str]) -> Column:
+    """256 bits that stand for the values of a row: whole rows need not move to be compared."""
+    return F.unhex(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
+
+
 def excess_copies(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows that occur more than once, with n. Copies are counted map-side before rows move."""
     return df.groupBy(*columns).agg(F.count("*").alias("n")).filter("n > 1")
@@ -168,7 +174,7 @@ def excess_copies(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def _duplicate_rows(rule: Rule, tables: dict[str, DataFrame]) -> DataFrame:
     df = tables[rule.table]
-    copies = excess_copies(df, rule.columns or df.columns)
+    copies = excess_copies(df.select(row_digest(rule.columns or df.columns).alias("row")), ["row"])
     return copies.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("failures"))
 
 
@@ -192,6 +198,7 @@ def _variance(rule: Rule, tables: dict[str, DataFrame]) -> DataFrame:
 
 
 JOINED_RULES: dict[str, Callable[[Rule, dict[str, DataFrame]], DataFrame]] = {
+    "UNIQUE": _unique,
     "REFERENTIAL": lambda rule, tables: _referential(rule, tables, nulls_fail=True),
     "LOOKUP": lambda rule, tables: _referential(rule, tables, nulls_fail=False),
     "DUPLICATE_ROWS": _duplicate_rows,

@@ -60,14 +60,15 @@ def latest(runs: DataFrame, n: int, order: list[Column], by: str | None = None)
     return runs.withColumn("place", place).filter(F.col("place") <= n)
 
 
-def status_summary(runs: DataFrame) -> DataFrame:
-    """Runs and durations by agent and status."""
+def status_summary(runs: DataFrame, order: list[str]) -> DataFrame:
+    """Runs and durations by agent and status, and the error of the last run in `order` that has one."""
+    at = F.when(F.col("error").isNotNull(), F.struct(*order))
     return runs.groupBy("agent_id", "status").agg(
         F.count("*").alias("runs"),
         F.min("duration_s").alias("min_duration_s"),
         F.avg("duration_s").alias("avg_duration_s"),
         F.max("duration_s").alias("max_duration_s"),
-        F.max("error").alias("last_error"),
+        F.max_by("error", at).alias("last_error"),
     )
 
 

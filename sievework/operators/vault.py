@@ -147,12 +147,30 @@ def link(
 
 
 def _latest(
-    df: DataFrame, keys: list[str], load_date: Column, attributes: list[str], tie_break: list[str]
-) -> DataFrame:
-    """(keys, load_date, attributes as struct `a`): the last row of each key and load date."""
-    return df.groupBy(*keys, load_date.cast("timestamp_ntz").alias("load_date")).agg(
-        F.max_by(F.struct(*attributes), F.struct(*tie_break)).alias("a")
+    df: DataFrame, keys: list[str], load_date: Column, attributes: list[str], tie_break: list[str],
+    parent_key: Column | None,
+) -> tuple[DataFrame, list[str]]:
+    """(rows, columns that tell parents apart). Rows hold the keys, load_date and the attributes as struct
+    `a`: the last row of each parent and load date.
+
+    Rows are reduced on native keys first. Text keys that share a key text are one parent, as in `hub`, so
+    they are reduced again by it (or by parent_key), in column `_parent`. Rows without a key are dropped.
+    """
+    known = df.filter(~_missing(keys))
+    rows = known.groupBy(*keys, load_date.cast("timestamp_ntz").alias("load_date")).agg(
+        F.max(F.struct(F.struct(*tie_break).alias("t"), F.struct(*attributes).alias("a"))).alias("last")
     )
+    if not any(isinstance(df.schema[k].dataType, T.StringType) for k in keys):
+        return rows.select(*keys, "load_date", "last.a"), keys
+    parent = key_text(*[F.col(k) for k in keys]) if parent_key is None else parent_key
+    again = rows.groupBy(parent.alias("_parent"), "load_date").agg(F.max(F.struct("last", *keys)).alias("r"))
+    return again.select("_parent", "load_date", "r.last.a", *[F.col(f"r.{k}").alias(k) for k in keys]), ["_parent"]
+
+
+def _parent_hash(keys: list[str], by: list[str], algo: str, parent_key: Column | None) -> Column:
+    if by == ["_parent"]:
+        return digest(F.col("_parent"), algo) if parent_key is None else F.col("_parent")
+    return hash_key(*[F.col(k) for k in keys], algo=algo) if parent_key is None else parent_key
 
 
 def _chunk(unit: str | None) -> Column | None:
@@ -176,10 +194,10 @@ def satellite(
     Works on native keys and attributes throughout; hashes are computed for the rows that remain.
     `parent_key` replaces the hash of `keys`, for satellites on links.
     """
-    latest = _latest(df, keys, load_date, attributes, tie_break)
-    ended = changes(latest, keys, "load_date", "a", "load_end_date", _chunk(chunk))
+    latest, by = _latest(df, keys, load_date, attributes, tie_break, parent_key)
+    ended = changes(latest, by, "load_date", "a", "load_end_date", _chunk(chunk))
     return ended.select(
-        (hash_key(*[F.col(k) for k in keys], algo=algo) if parent_key is None else parent_key).alias(parent_hk),
+        _parent_hash(keys, by, algo, parent_key).alias(parent_hk),
         "load_date",
         "load_end_date",
         F.lit(record_source).alias("record_source"),
@@ -200,8 +218,9 @@ def stage(
     parent_key: Column | None = None,
 ) -> DataFrame:
     """Rows to merge into a satellite: the last of each key and load date, with both hashes."""
-    return _latest(df, keys, load_date, attributes, tie_break).select(
-        (hash_key(*[F.col(k) for k in keys], algo=algo) if parent_key is None else parent_key).alias(parent_hk),
+    latest, by = _latest(df, keys, load_date, attributes, tie_break, parent_key)
+    return latest.select(
+        _parent_hash(keys, by, algo, parent_key).alias(parent_hk),
         "load_date",
         F.lit(record_source).alias("record_source"),
         hash_diff(*[F.col(f"a.{c}") for c in attributes], algo=algo).alias("hash_diff"),
@@ -228,7 +247,7 @@ def merge_history(
     Only keys in `staged` are worked out again; a reload of a (key, load date) replaces it. Both
     inputs are read more than once: hand in tables, or staged rows cut to the checkpoint folder.
     """
-    touched = staged.select(parent_hk).distinct()
+    touched = staged.select(parent_hk)  # not distinct: semi joins need none, and a hot key can then be split
     old = existing.drop("load_end_date").join(touched, parent_hk, "left_semi")
     kept = old.join(staged.select(parent_hk, "load_date"), [parent_hk, "load_date"], "left_anti")
     redone = history(kept.unionByName(staged), parent_hk, chunk)
@@ -339,19 +358,27 @@ def fact(
 ) -> DataFrame:
     """Measures (aggregate expressions) at the grain of the given keys; summed first, hashed after."""
     degenerate = degenerate or []
-    keys = [k for columns in dimensions.values() for k in columns]
-    sums = df.groupBy(*keys, *degenerate).agg(*[F.expr(m).alias(n) for n, m in measures.items()])
+    spelled = {e for e, c in dimensions.items() if any(isinstance(df.schema[k].dataType, T.StringType) for k in c)}
+    # Text keys are summed by the key text that spellings share, others by their native columns.
+    grain = {
+        e: [F.when(~_missing(c), key_text(*[F.col(k) for k in c])).alias(f"_{e}_text")] if e in spelled
+        else [F.col(k).alias(f"_{e}_{i}") for i, k in enumerate(c)]
+        for e, c in dimensions.items()
+    }
+    sums = df.groupBy(*[g for columns in grain.values() for g in columns], *degenerate).agg(
+        *[F.expr(m).alias(n) for n, m in measures.items()]
+    )
 
-    def dim_key(columns: list[str]) -> Column:
-        missing = F.coalesce(*[F.col(c).cast("string") for c in columns]).isNull()
-        return F.when(missing, zero_key(algo)).otherwise(hash_key(*[F.col(c) for c in columns], algo=algo))
+    def dim_key(entity: str) -> Column:
+        if entity in spelled:
+            return F.coalesce(digest(F.col(f"_{entity}_text"), algo), zero_key(algo))
+        columns = [f"_{entity}_{i}" for i, _ in enumerate(dimensions[entity])]
+        return F.when(_missing(columns), zero_key(algo)).otherwise(hash_key(*[F.col(c) for c in columns], algo=algo))
 
-    return sums.select(
-        *[dim_key(columns).alias(f"{entity}_hk") for entity, columns in dimensions.items()], *degenerate, *measures
-    )
+    return sums.select(*[dim_key(entity).alias(f"{entity}_hk") for entity in dimensions], *degenerate, *measures)
 
 
-def hub_candidates(columns: DataFrame, min_distinct: int = 100, suffixes: str = HUB_SUFFIXES) -> DataFrame:
+def hub_candidates(columns: DataFrame, min_distinct: int, suffixes: str = HUB_SUFFIXES) -> DataFrame:
     """Key-like columns worth a hub: not a small lookup, not a date."""
     return columns.filter(
         F.lower("name").rlike(suffixes)

@@ -20,9 +20,7 @@ PRIORITIES = {
     "REGEX_PATTERN": "P4", "LENGTH_CHECK": "P4", "ENUM_CHECK": "P4",
 }
 FAIL_ACTIONS = {"P1": "block", "P2": "alert", "P3": "alert", "P4": "log"}
-ENUM_LIMIT = 20
 COMPLETENESS_LOW, COMPLETENESS_HIGH = 0.01, 0.20
-MAX_RULES = 12
 NUMBER_TYPES = r"^(tinyint|smallint|int|bigint|float|double|decimal)"
 
 
@@ -49,12 +47,16 @@ def recommend(
     edges: DataFrame | None = None,
     priorities: dict[str, str] | None = None,
     wanted: list[str] | None = None,
-    max_rules: int = MAX_RULES,
+    max_rules: int | None = None,
+    *,
+    enum_limit: int,
 ) -> DataFrame:
     """Rule rows for profiled columns.
 
     columns: a profile with is_primary_key, is_foreign_key and is_business_key flags, and with all
-    values of low-cardinality columns in sample_values (profile with k=ENUM_LIMIT).
+    values of low-cardinality columns in sample_values (profile with k=enum_limit).
+    enum_limit: text columns with fewer values than this get an ENUM_CHECK; the caller's definition.
+    max_rules: keep that many rules per table, by priority; None keeps all.
     edges: resolved relationships; those of high confidence become REFERENTIAL rules.
     """
     ranks = {**PRIORITIES, **(priorities or {})}
@@ -65,7 +67,7 @@ def recommend(
     numeric = F.col("data_type").rlike(NUMBER_TYPES)
     pattern = F.element_at(F.create_map(*[F.lit(x) for kv in PATTERNS.items() for x in kv]), name)
     gap = F.col("null_pct").between(COMPLETENESS_LOW, COMPLETENESS_HIGH)
-    few = (F.col("data_type") == "string") & F.col("distinct_count").between(1, ENUM_LIMIT - 1)
+    few = (F.col("data_type") == "string") & F.col("distinct_count").between(1, enum_limit - 1)
 
     candidates = F.array(
         F.when(needs_value, _rule("NOT_NULL", _no_params(), ranks)),
@@ -105,9 +107,9 @@ def recommend(
     )
     actions = F.create_map(*[F.lit(x) for kv in FAIL_ACTIONS.items() for x in kv])
     text = F.concat_ws("_", "rule_type", "column_name")
+    placed = rules.withColumn("place", place)
     return (
-        rules.withColumn("place", place)
-        .filter(F.col("place") <= max_rules)
+        (placed if max_rules is None else placed.filter(F.col("place") <= max_rules))
         .select(
             "table_name",
             F.format_string("DQ_%03d", F.col("place")).alias("rule_id"),
@@ -116,7 +118,7 @@ def recommend(
             "priority",
             "params",
             F.element_at(actions, F.col("priority")).alias("fail_action"),
-            F.substring(text, 1, 40).alias("monitoring_label"),
+            text.alias("monitoring_label"),
         )
     )
 

@@ -9,15 +9,13 @@ from pyspark.sql import types as T
 from sievework.operators import checks
 from sievework.operators.checks import Rule
 
-LABEL_LENGTH = 40
-
 
 class QualityGateError(Exception):
     """A blocking rule failed."""
 
 
 def label(rule: Rule) -> str:
-    return "_".join([rule.rule_type, *rule.columns])[:LABEL_LENGTH]
+    return "_".join([rule.rule_type, *rule.columns])
 
 
 def _result(rule: Rule, failures: Column) -> Column:
@@ -85,7 +83,7 @@ def priority_counts(results: DataFrame) -> DataFrame:
 def enforce(results: DataFrame) -> None:
     """Raise if a blocking rule failed. Call it after the results are written."""
     blocked = results.filter((F.col("fail_action") == "block") & ~F.col("passed"))
-    labels = [r[0] for r in blocked.select("monitoring_label").orderBy("monitoring_label").take(20)]
+    labels = [r[0] for r in blocked.select("monitoring_label").orderBy("monitoring_label").collect()]
     if labels:
         raise QualityGateError(f"blocking rules failed: {', '.join(labels)}")
 

@@ -381,7 +381,7 @@ def part_inventory(spark, sf_dir) -> str:
     "inventory_columns",
     """
     SELECT 'part_' || p_partkey AS table_name, 0 AS ordinal, p_name AS name, 'decimal(18,2)' AS data_type,
-      p_brand || '-0|' || p_brand || '-1|' || p_brand || '-2|' || p_brand || '-3|' || p_brand || '-4' AS samples, p_type AS steward
+      p_brand || '-0|' || p_brand || '-1|' || p_brand || '-2|' || p_brand || '-3|' || p_brand || '-4|' || p_brand || '-5|' || p_brand || '-6' AS samples, p_type AS steward
     FROM part WHERE p_size NOT IN (47, 48, 49, 50)
     UNION ALL SELECT 'part_' || p_partkey, 1, 'brand', 'string', p_type, p_type FROM part WHERE p_size NOT IN (47, 48, 49, 50)
     """,

@@ -338,7 +338,7 @@ SUITE: list[tuple[Rule, str]] = [
 def suite_sql() -> str:
     return " UNION ALL ".join(
         f"SELECT '{r.rule_id}' AS rule_id, '{r.priority}' AS priority, '{r.fail_action}' AS fail_action, "
-        f"'{suite.label(r)}' AS monitoring_label, * FROM ({row_sql(r, sql)})"
+        f"'{'_'.join([r.rule_type, *r.columns])}' AS monitoring_label, * FROM ({row_sql(r, sql)})"
         for r, sql in SUITE
     )
 
@@ -362,6 +362,9 @@ def dq_suite_priorities(spark, sf_dir):
     return suite.priority_counts(suite_results(spark, sf_dir))
 
 
+ENUM_LIMIT = 20
+
+
 def profiled_with_keys(spark, sf_dir) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     """(columns with key flags, edges, tables) of customer and order under *_id names."""
     t = tables(spark, sf_dir, "customer", "orders")
@@ -371,7 +374,7 @@ def profiled_with_keys(spark, sf_dir) -> tuple[DataFrame, DataFrame, dict[str, D
             {"o_orderkey": "order_id", "o_custkey": "customer_id", "o_orderdate": "created_at"}
         ),
     }
-    columns = profile.profile_tables(named, k=recommend.ENUM_LIMIT)
+    columns = profile.profile_tables(named, k=ENUM_LIMIT)
     edges = keys.resolve(columns)
     flagged = keys.with_foreign_keys(keys.primary_keys(columns), edges)
     return flagged.withColumn("is_business_key", F.col("is_primary_key")), edges, named
@@ -405,12 +408,12 @@ RECOMMENDED = f"""
     "dq_recommend",
     f"""
     SELECT *, 'DQ_' || lpad(CAST(row_number() OVER (PARTITION BY table_name ORDER BY priority, rule_type, column_name NULLS FIRST) AS VARCHAR), 3, '0') AS rule_id
-    FROM ({RECOMMENDED}) QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY priority, rule_type, column_name NULLS FIRST) <= 12
+    FROM ({RECOMMENDED}) QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY priority, rule_type, column_name NULLS FIRST) >= 1
     """,
 )
 def dq_recommend(spark, sf_dir):
     columns, edges, _ = profiled_with_keys(spark, sf_dir)
-    rules = recommend.recommend(columns, edges)
+    rules = recommend.recommend(columns, edges, enum_limit=ENUM_LIMIT)
 
     def param(name):
         return F.element_at("params", name)
@@ -427,7 +430,7 @@ def dq_recommend(spark, sf_dir):
 def dq_recommend_p1_p3(spark, sf_dir):
     """Chosen priorities only."""
     columns, edges, _ = profiled_with_keys(spark, sf_dir)
-    return recommend.recommend(columns, edges, wanted=["P1", "P3"]).select("table_name", "rule_type", "column_name")
+    return recommend.recommend(columns, edges, wanted=["P1", "P3"], enum_limit=ENUM_LIMIT).select("table_name", "rule_type", "column_name")
 
 
 @query(
@@ -436,13 +439,13 @@ def dq_recommend_p1_p3(spark, sf_dir):
     SELECT table_name, rule_type, column_name,
       CAST(CASE rule_type WHEN 'COMPLETENESS' THEN (SELECT count(*) - count(o_orderpriority) FROM {GAPPY_ORDERS})
         WHEN 'FRESHNESS' THEN 1 ELSE 0 END AS BIGINT) AS failures
-    FROM (SELECT * FROM ({RECOMMENDED}) QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY priority, rule_type, column_name NULLS FIRST) <= 12)
+    FROM (SELECT * FROM ({RECOMMENDED}) QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY priority, rule_type, column_name NULLS FIRST) >= 1)
     """,
 )
 def dq_recommend_run(spark, sf_dir):
     """Recommended rules, run on the tables they were derived from."""
     columns, edges, named = profiled_with_keys(spark, sf_dir)
-    rules = suite.to_rules(recommend.recommend(columns, edges))
+    rules = suite.to_rules(recommend.recommend(columns, edges, enum_limit=ENUM_LIMIT))
     return suite.run(named, rules, AS_OF).select("table_name", "rule_type", "column_name", "failures")
 
 

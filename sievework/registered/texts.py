@@ -207,11 +207,11 @@ def runlog_history(spark, sf_dir):
     "runlog_status",
     f"""
     SELECT agent_id, status, count(*) AS runs, min(duration_s) AS min_duration_s, round(avg(duration_s), 6) AS avg_duration_s,
-      max(duration_s) AS max_duration_s, max(error) AS last_error FROM {RUNS} GROUP BY 1, 2
+      max(duration_s) AS max_duration_s, arg_max(error, conv_id) FILTER (error IS NOT NULL) AS last_error FROM {RUNS} GROUP BY 1, 2
     """,
 )
 def runlog_status(spark, sf_dir):
-    return runlog.status_summary(runs(spark, sf_dir)).withColumn("avg_duration_s", F.round("avg_duration_s", 6))
+    return runlog.status_summary(runs(spark, sf_dir), ["conv_id"]).withColumn("avg_duration_s", F.round("avg_duration_s", 6))
 
 
 @query("runlog_table", f"SELECT agent_id, status, count(*) AS runs, CAST(sum(token_prompt + token_completion) AS BIGINT) AS token_total FROM {RUNS} GROUP BY 1, 2")
@@ -369,11 +369,11 @@ def artifacts_tests(spark, sf_dir):
     "artifacts_lineage",
     """
     SELECT p_brand AS "from", p_type AS "to", 'load' AS transformation, CAST(NULL AS VARCHAR) AS node FROM part WHERE p_size <> 13 AND p_size > 5
-    UNION ALL SELECT NULL, NULL, NULL, p_name FROM part WHERE p_size <= 5
+    UNION ALL SELECT NULL, NULL, NULL, p_name FROM part WHERE p_size <> 13
     """,
 )
 def artifacts_lineage(spark, sf_dir):
-    """Edges, or the nodes of graphs without edges."""
+    """Edges and nodes, of graphs with and without edges."""
     edge = _struct(**{"from": F.col("p_brand"), "to": F.col("p_type"), "transformation": "load"})
     graph = F.struct(
         F.array(_struct(id=F.col("p_name"), label=F.col("p_name"))).alias("nodes"),

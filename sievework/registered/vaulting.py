@@ -371,6 +371,51 @@ def vault_computed_sat(spark, sf_dir):
     return sat.select("customer_hk", "hash_diff", "band", "in_debt")
 
 
+SPELLED = """
+    (SELECT CASE WHEN p_size = 50 THEN NULL WHEN p_size % 3 = 0 THEN lower(p_brand) WHEN p_size % 3 = 1 THEN '  ' || p_brand || ' ' ELSE upper(p_brand) END AS brand,
+      CASE WHEN p_size = 50 THEN NULL WHEN p_size % 2 = 0 THEN 'a|b' ELSE 'N/A' END AS kind, p_size, p_retailprice FROM part)
+"""
+
+
+@query(
+    "vault_spellings",
+    f"""
+    WITH keys AS (SELECT DISTINCT upper(trim(brand)) AS b, kind AS k FROM {SPELLED} WHERE brand IS NOT NULL),
+      ghost AS (SELECT CAST(max(CASE WHEN brand IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS g FROM {SPELLED})
+    SELECT 'hub' AS part_of, count(*) AS n, count(*) AS hash_keys FROM keys
+    UNION ALL SELECT 'satellite', count(*), count(*) FROM keys
+    UNION ALL SELECT 'stage', count(*), count(*) FROM keys
+    UNION ALL SELECT 'dimension', count(*), count(*) FROM keys
+    UNION ALL SELECT 'point_in_time', count(*), count(*) FROM keys
+    UNION ALL SELECT 'fact', count(*) + max(g), count(*) + max(g) FROM keys, ghost
+    """,
+)
+def vault_spellings(spark, sf_dir):
+    """Mixed case, blanks, separators and NULLs in text keys: every structure holds one row per hash key."""
+    size, brand = F.col("p_size"), F.col("p_brand")
+    spelled = F.when(size % 3 == 0, F.lower(brand)).when(size % 3 == 1, F.concat(F.lit("  "), brand, F.lit(" "))).otherwise(F.upper(brand))
+    part = table(spark, sf_dir, "part").select(
+        F.when(size != 50, spelled).alias("brand"), F.when(size == 50, None).when(size % 2 == 0, "a|b").otherwise("N/A").alias("kind"),
+        "p_size", "p_retailprice",
+    )
+    keys, loaded = ["brand", "kind"], F.lit(LOADED)
+    hub = vault.hub("part", [vault.Source(part, keys, "erp.part", LOADED)], keys, with_ghost=False)
+    sat = vault.satellite(part, "part_hk", keys, loaded, ["p_size"], "erp.part", ["p_size"], chunk=None)
+    found = {
+        "hub": hub,
+        "satellite": sat.filter(vault.CURRENT),
+        "stage": vault.stage(part, "part_hk", keys, loaded, ["p_size"], "erp.part", ["p_size"]),
+        "dimension": vault.dimension(hub, [sat], "part_hk"),
+        "point_in_time": vault.point_in_time({"sat": sat}, "part_hk", "2024-02-01", "2024-02-01"),
+        "fact": vault.fact(part, {"part": keys}, {"n": "count(*)"}),
+    }
+    out = None
+    for name, df in found.items():
+        one = df.agg(F.lit(name).alias("part_of"), F.count("*").alias("n"), F.count_distinct("part_hk").alias("hash_keys"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(
     "vault_hub_candidates",
     """
@@ -393,7 +438,7 @@ def vault_hub_candidates(spark, sf_dir):
             "customer": t["customer"].selectExpr("c_custkey AS customer_key", "c_nationkey AS nation_key", "c_name AS name"),
         }
     )
-    return vault.hub_candidates(columns).select("table_name", "name", "distinct_count")
+    return vault.hub_candidates(columns, min_distinct=100).select("table_name", "name", "distinct_count")
 
 
 @query("vault_coverage", "SELECT count(*) AS source_rows, CAST(0 AS BIGINT) AS differing_rows, CAST('c_acctbal' AS VARCHAR) AS uncovered FROM customer")

@@ -19,7 +19,6 @@ TABLE_FIELDS = (
     "table_name STRING, database STRING, row_count BIGINT, record_source STRING, "
     f"columns ARRAY<{COLUMN_STRUCT}>, relationships ARRAY<{EDGE_STRUCT}>"
 )
-MAX_SAMPLES = 5
 
 
 def read_inventory(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -48,9 +47,7 @@ def read_inventory(spark: SparkSession, path: str, lines: bool = False) -> tuple
             F.coalesce(c["nullable"], F.lit(True)).alias("nullable"),
             c["null_pct"].alias("null_pct"),
             c["distinct_count"].alias("distinct_count"),
-            F.slice(F.coalesce(c["sample_values"], F.array().cast("array<string>")), 1, MAX_SAMPLES).alias(
-                "sample_values"
-            ),
+            F.coalesce(c["sample_values"], F.array().cast("array<string>")).alias("sample_values"),
             F.coalesce(c["is_primary_key"], F.lit(False)).alias("is_primary_key"),
             F.coalesce(c["is_foreign_key"], F.lit(False)).alias("is_foreign_key"),
             c["fk_references"].alias("fk_references"),

@@ -189,6 +189,13 @@ def test_cyclic_edges(spark):
     assert lineage.cyclic_edges(edges(spark, ("a", "b"), ("b", "c"), ("a", "c"))).isEmpty()
 
 
+def test_edges_between_cycles_are_innocent(spark):
+    e = edges(spark, ("a", "b"), ("b", "a"), ("b", "m"), ("m", "c"), ("c", "d"), ("d", "c"))
+    assert rows(lineage.cyclic_edges(e)) == [("a", "b"), ("b", "a"), ("c", "d"), ("d", "c")]
+    e = edges(spark, ("1", "p"), ("p", "1"), ("2", "q"), ("q", "2"), ("3", "r"), ("r", "3"), ("4", "s"), ("s", "4"), ("1", "3"), ("3", "4"), ("4", "2"))
+    assert rows(lineage.cyclic_edges(e)) == sorted([("1", "p"), ("p", "1"), ("2", "q"), ("q", "2"), ("3", "r"), ("r", "3"), ("4", "s"), ("s", "4")])
+
+
 def test_edge_rules(spark):
     df = spark.createDataFrame(
         [("Src CRM", "HUB_Customer", None), ("Src CRM", "HUB_Customer", " "), ("HUB_Customer", "DIM Customer", "Unknown")],

@@ -173,7 +173,7 @@ def test_inventory_files(spark, tmp_path):
     got = {r["table_name"]: r for r in good.collect()}
     assert set(got) == {"customer", "g"}
     column = got["customer"]["columns"][0]
-    assert (column["data_type"], column["nullable"], column["sample_values"]) == ("decimal(18,2)", False, ["1", "2", "3", "4", "5"])
+    assert (column["data_type"], column["nullable"], column["sample_values"]) == ("decimal(18,2)", False, ["1", "2", "3", "4", "5", "6"])
     assert got["customer"]["extra"] == {"owner": '{"team":"crm"}'}
     assert (got["g"]["database"], got["g"]["row_count"], got["g"]["columns"][0]["nullable"]) == ("", 0, True)
     assert sorted(r["reason"] for r in rejects.collect()) == [

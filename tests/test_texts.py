@@ -100,7 +100,8 @@ def test_other_documents(spark):
     assert artifacts.model_columns(results(spark, model)).first()["column_name"] == "x_hk"
     graph = '{"lineage_graph": {"nodes": [{"id": "a"}], "edges": []}}'
     edged = '{"lineage_graph": {"nodes": [{"id": "a"}], "edges": [{"from": "a", "to": "b"}]}}'
-    assert artifacts.lineage_nodes(results(spark, graph, edged)).count() == 1
+    assert artifacts.lineage_nodes(results(spark, graph, edged)).count() == 2
+    assert artifacts.lineage_nodes(results(spark, f"[{graph}, {edged}]")).count() == 2
     assert artifacts.lineage_edges(results(spark, graph, edged)).first()["to"] == "b"
     bare = '{"source_table": "s", "target_table": "t", "column_mappings": [{"source_column": "a"}]}'
     got = artifacts.mapping_rows(results(spark, bare, '{"sttm": %s}' % bare))

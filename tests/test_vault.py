@@ -30,6 +30,13 @@ def test_key_text(spark):
     assert df.select(hash_key(F.col("x"), binary=True)).first()[0] == bytearray.fromhex(sha("AB"))
 
 
+def test_different_keys_have_different_texts(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("n/a", "c"), (None, "c"), ("a\\", "|c")], "x STRING, y STRING")
+    got = [r[0] for r in df.select(key_text(F.col("x"), F.col("y"))).collect()]
+    assert got == ["A\\|B|C", "A|B\\|C", "\\N/A|C", "N/A|C", "A\\\\|\\|C"]
+    assert len(set(got)) == 5
+
+
 def test_diff_text_keeps_columns_apart(spark):
     df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "N"), ("\\N", "N")], "x STRING, y STRING")
     got = [r[0] for r in df.select(diff_text(F.col("x"), F.col("y"))).collect()]
