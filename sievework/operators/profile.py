@@ -1,4 +1,4 @@
-"""Table and column profiles: one scan and one shuffle per table."""
+"""Table and column profiles: one pass in native types for the numbers, one shuffle for distinct values."""
 
 from __future__ import annotations
 
@@ -30,6 +30,8 @@ def _as_text(field: T.StructField) -> Column:
         return F.to_json(c)
     if isinstance(field.dataType, T.BinaryType):
         return F.hex(c)
+    if isinstance(field.dataType, T.TimestampType):
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSSXXX")  # with its offset: two instants of a repeated hour differ
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
         c = c + F.lit(0.0).cast(field.dataType)  # -0.0 and 0.0 are one value
     return c.cast("string")
@@ -93,32 +95,31 @@ def profile(
     )
 
 
+def _basic(df: DataFrame, approx: bool) -> DataFrame:
+    """Rows, NULLs, min, max and avg of every column in its own type: one pass of partial aggregates, no
+    value is shuffled. With `approx`, distinct counts come from sketches in the same pass."""
+    structs = []
+    for i, f in enumerate(df.schema.fields):
+        c = F.col(f"`{f.name}`")
+        number = _family(f.dataType) != "other"
+        none = F.lit(None)
+        structs.append(
+            F.struct(
+                F.lit(str(i)).alias("col_no"),
+                F.count("*").alias("rows"),
+                F.count_if(c.isNull()).alias("nulls"),
+                (F.min(c) if number else none).cast("string").alias("min_num"),
+                (F.max(c) if number else none).cast("string").alias("max_num"),
+                (F.avg(c.cast("double")) if number else none).cast("double").alias("avg_num"),
+                *([F.approx_count_distinct(_as_text(f)).alias("distinct_count")] if approx else []),
+            )
+        )
+    return df.agg(F.array(*structs).alias("all")).select(F.inline("all"))
+
+
 def _exact(df: DataFrame, k: int) -> DataFrame:
-    fields = list(enumerate(df.schema.fields))
-    ids = {kind: [str(i) for i, f in fields if _family(f.dataType) == kind] for kind in ("whole", "decimal", "fraction")}
-    scale = max([f.dataType.scale for _, f in fields if isinstance(f.dataType, T.DecimalType)], default=0)
     counts = value_counts(df)
-
-    def typed(kind: str, dtype: str) -> Column:
-        mine = F.col("col_no").isin(ids[kind]) if ids[kind] else F.lit(False)
-        return F.when(mine, F.col("value").cast(dtype))
-
-    # fixed-width buffers only, so this stays a hash aggregate
-    whole, decimal = typed("whole", "bigint"), typed("decimal", f"decimal(38,{scale})")
-    fraction = typed("fraction", "double")
-    as_double = F.coalesce(whole.cast("double"), decimal.cast("double"), fraction)
-    stats = counts.groupBy("col_no").agg(
-        F.sum("n").alias("rows"),
-        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
-        F.count("value").alias("distinct_count"),
-        F.min(whole).alias("min_whole"),
-        F.max(whole).alias("max_whole"),
-        F.min(decimal).alias("min_decimal"),
-        F.max(decimal).alias("max_decimal"),
-        F.min(fraction).alias("min_fraction"),
-        F.max(fraction).alias("max_fraction"),
-        (F.sum(as_double * F.col("n")) / F.sum(F.when(as_double.isNotNull(), F.col("n")))).alias("avg_num"),
-    )
+    distinct = counts.groupBy("col_no").agg(F.count(F.when(F.col("n") > 0, F.col("value"))).alias("distinct_count"))
     # NULLs sort last and leave after the ranking, and `n` stays in use: so both branches hold the
     # same count plan and AQE reads one exchange twice
     place = F.row_number().over(Window.partitionBy("col_no").orderBy(F.col("value").asc_nulls_last()))
@@ -129,39 +130,11 @@ def _exact(df: DataFrame, k: int) -> DataFrame:
         .groupBy("col_no")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("sample_values"))
     )
-
-    def number(side: str) -> Column:
-        return F.coalesce(
-            F.col(f"{side}_whole").cast("string"),
-            F.col(f"{side}_decimal").cast("string"),
-            F.col(f"{side}_fraction").cast("string"),
-        ).alias(f"{side}_num")
-
-    return stats.join(samples, "col_no", "left").select(
-        "col_no", "rows", "nulls", "distinct_count", "sample_values", number("min"), number("max"), "avg_num"
-    )
+    return _basic(df, approx=False).join(distinct, "col_no", "left").join(samples, "col_no", "left")
 
 
 def _sketched(df: DataFrame) -> DataFrame:
-    """Single pass, partial aggregates only: row, null, min/max/avg exact, distinct estimated."""
-    structs = []
-    for i, f in enumerate(df.schema.fields):
-        c = F.col(f"`{f.name}`")
-        numeric = _family(f.dataType) != "other"
-        text = "string"
-        structs.append(
-            F.struct(
-                F.lit(str(i)).alias("col_no"),
-                F.count("*").alias("rows"),
-                F.count_if(c.isNull()).alias("nulls"),
-                F.approx_count_distinct(_as_text(f)).alias("distinct_count"),
-                F.lit(None).cast("array<string>").alias("sample_values"),
-                (F.min(c).cast(text) if numeric else F.lit(None).cast(text)).alias("min_num"),
-                (F.max(c).cast(text) if numeric else F.lit(None).cast(text)).alias("max_num"),
-                (F.avg(c.cast("double")) if numeric else F.lit(None).cast("double")).alias("avg_num"),
-            )
-        )
-    return df.agg(F.array(*structs).alias("all")).select(F.inline("all"))
+    return _basic(df, approx=True).withColumn("sample_values", F.lit(None).cast("array<string>"))
 
 
 def profile_tables(tables: dict[str, DataFrame], **options) -> DataFrame:
@@ -237,7 +210,7 @@ def with_fallback(live: DataFrame, inventory: DataFrame) -> DataFrame:
         "m.nullable",
         chosen("null_pct"),
         chosen("distinct_count"),
-        F.slice(chosen("sample_values"), 1, SAMPLES).alias("sample_values"),
+        chosen("sample_values"),
         tier.alias("stats_source"),
         note.alias("stats_note"),
     )

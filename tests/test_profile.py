@@ -186,3 +186,18 @@ def test_ddl_keeps_not_null():
     assert sinks.ddl("db.t", schema) == (
         "CREATE TABLE IF NOT EXISTS db.t (\n  `id` BIGINT NOT NULL,\n  `s` STRING\n) USING PARQUET"
     )
+
+
+def test_decimals_of_any_scale_and_repeated_hours(spark):
+    df = spark.sql(
+        "SELECT CAST('12345678901234567890123456789012345678' AS DECIMAL(38,0)) AS wide, CAST('1.000000000000000001' AS DECIMAL(20,18)) AS fine"
+    )
+    got = {r["name"]: r for r in profile.profile(df, "t").collect()}
+    assert (got["wide"]["min_num"], got["fine"]["max_num"]) == ("12345678901234567890123456789012345678", "1.000000000000000001")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        hours = spark.sql("SELECT explode(array(1699160400, 1699164000, 1699167600)) AS s").selectExpr("timestamp_seconds(s) AS at")
+        assert profile.profile(hours, "t").first()["distinct_count"] == 3
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
