@@ -9,9 +9,9 @@ document into a score. A word that stands alone in the lexicon does not decide;
 
 Word lists of negations, targets, report verbs and threats are given. Insults are learned: forms and stems
 (beginnings of 4 to 7 letters) of words weigh the logarithm of how much likelier they are in toxic texts,
-and a word takes the greatest weight on its path. They come from at most `sample` labelled rows, taken by
-a hash of their doc_id, and one row of each group of near copies (equal least hash of two-word shingles),
-so no copied text can fill the lexicon. Half of those rows give the lexicon, the other half the model.
+less ERRORS standard errors, and a word takes the greatest weight on its path. They come from at most `sample` labelled rows, taken by
+a hash of their doc_id, and one row of each group of near copies (an equal least hash of the two-word
+shingles in one of COPY_KEYS orders), so no copied text can fill the lexicon. Half of those rows give the lexicon, the other half the model.
 
 NULL and empty texts have no matches and score like any text without. Labels that are NULL are left out; of
 several labels of a doc_id the greatest holds. Without toxic labels to learn from, every score is the share
@@ -37,7 +37,8 @@ from sievework.session import cut
 SAMPLE = 20_000
 LEXICON = 2_000
 STEMS = (4, 5, 6, 7)
-LEAST_WEIGHT = 1.0
+LEAST_WEIGHT, ERRORS = 0.25, 2.5
+COPY_KEYS = 4
 THRESHOLD = 0.3
 SCOPE, REACH = 3, 4
 
@@ -191,14 +192,24 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: s
     drawn = cut(known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample).drop("h"))
     texts = rows_of(docs, doc_id=id_col, text=F.coalesce(docs[text_col].cast("string"), F.lit("")))
     rows = texts.join(F.broadcast(drawn) if sample <= 1_000_000 else drawn, "doc_id").withColumn("words", F.split(F.lower("text"), r"\s+"))
-    pairs = F.zip_with("words", F.slice("words", 2, 1 << 30), lambda a, b: F.xxhash64(a, b))
-    rows = cut(rows.withColumn("copy", F.array_min(F.transform(pairs, lambda h: F.coalesce(h, F.lit(0))))).drop("words"))
-    first = rows.groupBy("copy", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    return rows.join(cut(first), ["doc_id", "copy", "toxic"]).dropDuplicates(["doc_id"]).select(
+    pairs = F.transform(F.zip_with("words", F.slice("words", 2, 1 << 30), lambda a, b: F.xxhash64(a, b)), lambda h: F.coalesce(h, F.lit(0)))
+    keys = {f"copy{k}": _least_hash(k) for k in range(COPY_KEYS)}
+    rows = cut(rows.withColumn("pairs", pairs).withColumns(keys).drop("words", "pairs"))
+    # Near copies share most of their shingles, so nearly always one of a few least hashes.
+    left = rows.drop("text")
+    for key in keys:
+        left = left.groupBy(key, "toxic").agg(F.min(F.struct("doc_id", *[k for k in keys if k != key])).alias("r")).select("toxic", key, "r.*")
+    once = cut(left.select("doc_id"))
+    return rows.select("doc_id", "text", "toxic").join(once, "doc_id").dropDuplicates(["doc_id"]).select(
         "text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0).alias("half")
     )
 
 
+def _least_hash(seed: int) -> Column:
+    """The least hash of a row's shingles (column `pairs`) in one of several orders."""
+    return F.array_min(F.transform("pairs", lambda h: F.xxhash64(h, F.lit(seed))))
+
+
 def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
     """Weights of word forms ('=word') and stems, the `size` that tell most. Counts stay in Spark."""
     counts = {bool(r["toxic"]): r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -211,7 +222,9 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
     entries = rows.select("toxic", words.alias("words")).select("toxic", F.explode(F.array_distinct(F.concat(forms, *stems))).alias("entry"))
     n_toxic, n_clean = F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1))
     seen = entries.groupBy("entry").agg(n_toxic.alias("t"), n_clean.alias("c")).where(F.col("t") >= max(3, toxic // 100))
-    weight = F.log((F.col("t") + 0.1) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
+    # The lower end of what the counts allow, so rare words that met toxic texts by chance weigh nothing.
+    ratio = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
+    weight = ratio - ERRORS * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     best = seen.withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT).orderBy((F.col("w") * F.col("t")).desc(), "entry").limit(size)
     return {r["entry"]: r["w"] for r in best.select("entry", "w").collect()}
 
