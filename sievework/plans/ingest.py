@@ -111,9 +111,9 @@ def run(spark: SparkSession, spec: IngestSpec) -> StreamingQuery | None:
     source = files.stream(spark, spec.path, spec.source_format, stored_schema(spark, spec), **spec.options)
     rows = _with_provenance(source, spec)
     if spec.load_type == "merge":
-        if not spec.keys:
-            raise ValueError("a merge load needs keys")
-        query = apply_changes(rows, spec.target, spec.keys, spec.sequence or spec.keys, spec.checkpoint, availableNow=True)
+        if not spec.keys or not spec.sequence:
+            raise ValueError("a merge load needs keys, and a sequence that says which row of a key is the last")
+        query = apply_changes(rows, spec.target, spec.keys, spec.sequence, spec.checkpoint, availableNow=True)
     else:
         trigger = {"availableNow": True} if spec.load_type == "incremental" else {"processingTime": spec.trigger}
         writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", spec.checkpoint)

@@ -240,8 +240,8 @@ def registry_filter(spark, sf_dir):
     registry = part.select(
         "p_partkey", F.col("p_brand").alias("type"), F.col("p_type").alias("category"), (F.col("p_size") > 10).alias("enabled")
     )
-    brand = part.agg(F.min("p_brand")).first()[0]
-    kind = part.filter(F.col("p_brand") == brand).agg(F.min("p_type")).first()[0]
+    brand = part.agg(F.min("p_brand").alias("b")).scalar()
+    kind = part.filter(F.col("p_brand") == brand).agg(F.min("p_type").alias("t")).scalar()
     return runlog.registered(registry, agent_type=brand, category=kind).select("p_partkey")
 
 

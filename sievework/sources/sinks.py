@@ -71,13 +71,25 @@ def write_version(df: DataFrame, table: str, fmt: str = "parquet") -> str:
     return name
 
 
-def upsert(df: DataFrame, table: str, keys: list[str], fmt: str = "parquet") -> None:
+def latest_rows(df: DataFrame, keys: list[str], sequence: list[str]) -> DataFrame:
+    """One row per key, the last by sequence. Hot keys are combined before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*sequence)).alias("r"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in df.columns])
+
+
+def upsert(df: DataFrame, table: str, keys: list[str], sequence: list[str] | None = None, fmt: str = "parquet") -> None:
     """Idempotent keyed load into a versioned table: last load of a key wins.
 
+    Rows of one load that share a key are reduced to the last by `sequence`; without one they are an error.
     A file format without MERGE has to write the whole state again; keep large targets in a
     format with row-level operations and use `merge` there.
     """
     spark = df.sparkSession
+    if sequence:
+        df = latest_rows(df, keys, sequence)
+    elif not df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        raise ValueError(f"rows share a key of {keys}: give a sequence that says which is the last")
     known = versions(spark, table)
     state = upserted(spark.table(f"{table}__v{known[-1]}"), df, keys) if known else df
     write_version(state, table, fmt)
@@ -92,7 +104,7 @@ def merge(df: DataFrame, table: str, keys: list[str]) -> None:
     df.alias("source").mergeInto(table, condition).whenMatched().updateAll().whenNotMatched().insertAll().merge()
 
 
-def load(df: DataFrame, table: str, strategy: str, keys: list[str] | None = None, fmt: str = "parquet") -> None:
+def load(df: DataFrame, table: str, strategy: str, keys: list[str] | None = None, sequence: list[str] | None = None, fmt: str = "parquet") -> None:
     """Load by the entity's strategy."""
     if strategy == "FULL_REFRESH":
         full_refresh(df, table, fmt)
@@ -101,7 +113,7 @@ def load(df: DataFrame, table: str, strategy: str, keys: list[str] | None = None
     elif strategy == "MERGE":
         if not keys:
             raise ValueError("MERGE needs keys")
-        upsert(df, table, keys, fmt)
+        upsert(df, table, keys, sequence, fmt)
     else:
         raise ValueError(f"unknown load strategy '{strategy}', choose from {list(LOAD_STRATEGIES)}")
 

@@ -3,17 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sievework.sources import sinks
-
-
-def latest_rows(df: DataFrame, keys: list[str], sequence: list[str]) -> DataFrame:
-    """One row per key, the last by sequence. Hot keys are combined before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*sequence)).alias("r"))
-    return last.select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in df.columns])
+from sievework.sources.sinks import latest_rows
 
 
 def apply_changes(
@@ -27,13 +20,16 @@ def apply_changes(
 
     def load(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        newest = latest_rows(batch, keys, sequence)
-        known = sinks.versions(spark, table)
-        if known:
-            stored = spark.table(f"{table}__v{known[-1]}")
-            touched = stored.join(newest.select(*keys), keys, "left_semi")
-            newest = latest_rows(touched.unionByName(newest), keys, sequence)
-        sinks.upsert(newest, table, keys)
+        newest = latest_rows(batch, keys, sequence).persist()
+        try:
+            known, merged = sinks.versions(spark, table), newest
+            if known:
+                stored = spark.table(f"{table}__v{known[-1]}")
+                touched = stored.join(newest.select(*keys), keys, "left_semi")
+                merged = latest_rows(touched.unionByName(newest), keys, sequence)
+            sinks.upsert(merged, table, keys, sequence)
+        finally:
+            newest.unpersist()
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint)
     return writer.foreachBatch(load).trigger(**trigger).start()

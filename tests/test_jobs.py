@@ -124,6 +124,15 @@ def test_load_strategies(spark, schema):
         sinks.load(df, f"{schema}.x", "MERGE")
 
 
+def test_upsert_reduces_or_refuses_shared_keys(spark, schema):
+    df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k INT, at INT, v STRING")
+    with pytest.raises(ValueError, match="sequence"):
+        sinks.load(df, f"{schema}.shared", "MERGE", ["k"])
+    sinks.load(df, f"{schema}.shared", "MERGE", ["k"], ["at"])
+    assert rows(spark.table(f"{schema}.shared")) == [(1, 2, "b"), (2, 1, "c")]
+
+
+
 def write_events(spark, path, values):
     df = spark.createDataFrame(values, "id INT, ts STRING, v INT").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     df.coalesce(1).write.mode("append").parquet(path)
