@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from sievework.llm import decontam, simhash, toxicity
+from sievework.llm import decontam, secret_forest, simhash, toxicity
 from sievework.llm.queries import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
@@ -19,7 +19,11 @@ def test_against_sql(key, spark, sf_dir):
 def test_row_counts(key, spark, sf_dir):
     table = "embeddings" if key.startswith("op6") else "documents"
     rows = QUERIES[key](spark, sf_dir)
-    if key.startswith(("op4", "op9")):
+    if key.startswith("op9"):
+        texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+        want = [(r.doc_id, s, e - s, kind) for r in texts for kind, s, e in secret_forest.candidates(r.text or "")]
+        assert sorted((r.doc_id, r.start, r.length, r.kind) for r in rows.collect()) == sorted(want)
+    elif key.startswith("op4"):
         assert rows.count() > 0
     else:
         assert rows.count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
