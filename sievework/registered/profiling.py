@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import keys, profile
 from sievework.registered.registry import query, scratch_schema, table, tables
-from sievework.session import scratch
+from sievework.session import cut, scratch
 from sievework.sources import catalog, files, metadata, sinks
 
 # (column, type, is a number) per table
@@ -188,16 +188,18 @@ def renamed_columns(spark, sf_dir) -> DataFrame:
 @query(
     "keys_fk_resolution",
     """
-    SELECT * FROM (VALUES
-      ('customer', 'nation_id', 'nation', '?', 'medium'),
-      ('order', 'customer_id', 'customer', 'customer_id', 'high'),
-      ('order', 'clerk_id', 'clerk', 'clerk_id', 'low'),
-      ('nation', 'region_id', 'region', 'region_id', 'low')
-    ) AS t(from_table, from_column, to_table, to_column, confidence)
+    SELECT 'customer' AS from_table, 'nation_id' AS from_column, 'nation' AS to_table, '?' AS to_column, 'medium' AS confidence,
+      count(DISTINCT c_nationkey) AS distinct_count, count(*) AS row_count FROM customer
+    UNION ALL SELECT 'order', 'customer_id', 'customer', 'customer_id', 'high', count(DISTINCT o_custkey), count(*) FROM orders
+    UNION ALL SELECT 'order', 'clerk_id', 'clerk', 'clerk_id', 'low', count(DISTINCT o_custkey), count(*) FROM orders
+    UNION ALL SELECT 'nation', 'region_id', 'region', 'region_id', 'low', count(DISTINCT n_regionkey), count(*) FROM nation
     """,
 )
 def keys_fk_resolution(spark, sf_dir):
-    return keys.resolve(renamed_columns(spark, sf_dir))
+    """References of all three confidences, with the values they hold."""
+    columns = cut(renamed_columns(spark, sf_dir))  # a row per column, used three times
+    held = columns.select(F.col("table_name").alias("from_table"), F.col("name").alias("from_column"), "distinct_count", "row_count")
+    return keys.resolve(columns).join(held, ["from_table", "from_column"])
 
 
 @query(
