@@ -129,3 +129,20 @@ def test_blocks_count_each_pair_once(spark):
     a = {r.vec_id: r.n_links for r in pivots.near_duplicates(df, block=8, shared=1).collect()}
     b = {r.vec_id: r.n_links for r in pivots.near_duplicates(df, block=10_000, shared=1).collect()}
     assert a == b and df.where(F.col("vec_id") < 0).count() == 0
+
+
+@pytest.mark.parametrize("least", [1024, 4096])
+def test_links_near_the_threshold_are_found_with_many_pivots(spark, least):
+    rng = np.random.default_rng(least)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, z = unit(rng.normal(size=(1500, 64))), rng.normal(size=(1500, 64))
+    z = unit(z - (z * a).sum(1, keepdims=True) * a)
+    cosine = rng.uniform(0.901, 0.91, size=(1500, 1))
+    rows = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * z, unit(rng.normal(size=(9000, 64)))])
+    want = (a @ rows.T >= 0.9).sum(1) - 1
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in pivots.near_duplicates(df, least=least).where("vec_id < 3000").collect()}
+    links = np.array([got[i].n_links for i in range(1500)])
+    assert want.sum() >= 1500 and (links <= want).all()
+    assert links.sum() >= 0.998 * want.sum()
+    assert sum(got[1500 + i].component_id == i for i in range(1500)) >= 0.998 * 1500
