@@ -3,9 +3,14 @@
 Pieces of such a model hold the space mark only at their start and no line feed, so the tokens of a text
 are those of its parts: a run of spaces with the word after it, or a line feed with the word after it. The
 count at the end of part i is the count at the end of part i-1 plus the tokens of part i; that recurrence
-is stored as two arrays, where parts end (in characters) and the counts there. A prefix that ends inside a
-part adds the tokens of that part's beginning, so the count of any prefix, and the longest prefix within a
-budget, follow from the arrays and one word, without encoding the text again.
+is stored as two arrays, where parts end (in characters) and the counts there. The count at every single
+prefix is stored beside them as `steps`, a signed byte per character: what the character adds to the count
+of the prefix before it (a longer prefix may have fewer tokens). So the count of any prefix, and the longest
+prefix within a budget, follow from the table without the text.
+
+Counts inside a part are the library's for the part's own prefixes. For parts longer than LONG_PART, where
+that would be quadratic, they come from the recurrence of BPE: the last token of a prefix is the one piece
+that the merges leave standing beside the last token of the prefix before it, and adds 1 to its count.
 
 A NULL text counts as empty, an empty text has no parts and 0 tokens. Rows are kept as they come: repeated
 ids and NULL ids give a row each. Whole texts are read, however long.
@@ -14,9 +19,12 @@ ids and NULL ids give a row each. Whole texts are read, however long.
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_right
 from functools import lru_cache
+from operator import sub
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -27,7 +35,9 @@ from sievework.llm.common import Batches, documents_of, slices
 MARK = "▁"
 CACHE_PARTS = 300_000
 LONG_PART = 64
-SCHEMA = "doc_id long, n_bytes long, ends array<int>, counts array<int>"
+CACHE_PAIRS = 100_000
+SLICE = 2 << 20
+SCHEMA = "doc_id long, n_bytes long, ends array<int>, counts array<int>, steps binary"
 _PARTS = re.compile(r"\n[^ \n]*|[ ]*[^ \n]+|[ ]+")
 
 
@@ -44,6 +54,11 @@ class PieceCounter:
             and not any(self.model.is_unused(i) for i in range(len(pieces)))
         )
         self.table: dict[str, int] = {}
+        self.inner: dict[str, bytes] = {}
+        special = [f(i) for f in (self.model.is_control, self.model.is_unknown, self.model.is_byte) for i in range(len(pieces))]
+        self.pieces = {p for i, p in enumerate(pieces) if not any(special[i :: len(pieces)])}
+        self.longest = max(map(len, self.pieces), default=0)
+        self.pairs: dict[tuple[str, str], bool] = {}
 
     def whole(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.model.encode(texts, num_threads=1)]
@@ -51,20 +66,65 @@ class PieceCounter:
     def learn(self, parts: set[str]) -> None:
         """parts begin with their spaces or their line feed."""
         new = [p for p in parts if p not in self.table]
+        self.table.update(zip(new, self.numbers(new)))
+
+    def numbers(self, parts: list[str]) -> list[int]:
         # The model puts a space before whatever it is given: that is the part's first space, or, before a
         # line feed, a token of its own.
-        counts = self.whole([p[1:] if p[0] == " " else p for p in new])
-        for part, n in zip(new, counts):
-            self.table[part] = 1 if part == " " else n - (part[0] == "\n")
+        counts = self.whole([p[1:] if p[0] == " " else p for p in parts])
+        return [1 if part == " " else n - (part[0] == "\n") for part, n in zip(parts, counts)]
+
+    def learn_steps(self, parts: set[str]) -> None:
+        """For each part, a signed byte per character: the tokens it adds to the part's prefix before it."""
+        new = [p for p in parts if p not in self.inner]
+        self.learn({p[:i] for p in new if len(p) <= LONG_PART for i in range(1, len(p) + 1)})
+        table = self.table
+        for part in new:
+            counts = [table[part[:i]] for i in range(1, len(part) + 1)] if len(part) <= LONG_PART else self.along(part)
+            steps = list(map(sub, counts, [0, *counts]))
+            if max(steps) > 127 or min(steps) < -128:
+                raise ValueError("a character of this model changes the count by more than a byte holds")
+            self.inner[part] = array("b", steps).tobytes()
+
+    def stand(self, left: str, right: str) -> bool:
+        """Whether the merges leave two neighbouring pieces as they are."""
+        found = self.pairs.get((left, right))
+        if found is None:
+            if len(self.pairs) > CACHE_PAIRS:
+                self.pairs.clear()
+            # A line feed before them keeps the model's own space away.
+            out = self.model.encode("\n" + (left + right).replace(MARK, " "), out_type=str)
+            found = self.pairs[left, right] = out[-2:] == [left, right]
+        return found
+
+    def along(self, part: str) -> list[int]:
+        """Tokens of each prefix of a part, in time linear in its length."""
+        marked = part.replace(" ", MARK)
+        last: list[str | None] = [None]  # the last token of each prefix; None: nothing, or bytes of an unknown character
+        counts = [0]
+        for i in range(1, len(marked) + 1):
+            for j in range(max(0, i - self.longest), i):
+                piece = marked[j:i]
+                if piece in self.pieces and (last[j] is None or self.stand(last[j], piece)):
+                    last.append(piece)
+                    counts.append(counts[j] + 1)
+                    break
+            else:
+                last.append(None)
+                counts.append(counts[i - 1] + len(marked[i - 1].encode()))
+        return counts[1:]
 
     def make_room(self) -> None:
         if len(self.table) > CACHE_PARTS:
             self.table.clear()
+        if len(self.inner) > CACHE_PARTS // 2:
+            self.inner.clear()
 
     def forget_long(self, parts: set[str]) -> None:
         for part in parts:
             if len(part) > LONG_PART:
                 self.table.pop(part, None)
+                self.inner.pop(part, None)
 
     def cut(self, text: str) -> list[str]:
         """The parts of a text with the model's leading space put before it."""
@@ -101,14 +161,30 @@ def prefix_arrays(counter: PieceCounter, texts: list[str]) -> list[tuple[list[in
     return out
 
 
+def prefix_steps(counter: PieceCounter, texts: list[str]) -> list[bytes]:
+    """What each character of a text adds to the tokens of the prefix before it, a signed byte each."""
+    cut = [counter.cut(t) for t in texts]
+    counter.make_room()
+    counter.learn_steps({p for parts in cut for p in parts})
+    out = []
+    for parts in cut:
+        steps = b"".join([counter.inner[p] for p in parts])
+        # The leading space is not of the text: what it adds, the first character does.
+        head = np.frombuffer(steps[:2], np.int8).sum(dtype=np.int8).tobytes() if parts else b""
+        out.append(head + steps[2:])
+    counter.forget_long({p for parts in cut for p in parts if len(p) > LONG_PART})
+    return out
+
+
 def prefix_table(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, ends, counts: the stored arrays, a row per document, without a shuffle."""
+    """doc_id, n_bytes, ends, counts, steps: the stored arrays, a row per document, without a shuffle."""
 
     def run(batches: Batches) -> Batches:
         counter = piece_counter(model_path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 texts = part.column("text").fill_null("").to_pylist()
+                steps = prefix_steps(counter, texts)
                 arrays = prefix_arrays(counter, texts)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -116,8 +192,9 @@ def prefix_table(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                         pa.array([len(t.encode()) for t in texts], pa.int64()),
                         pa.array([a for a, _ in arrays], pa.list_(pa.int32())),
                         pa.array([c for _, c in arrays], pa.list_(pa.int32())),
+                        pa.array(steps, pa.binary()),
                     ],
-                    ["doc_id", "n_bytes", "ends", "counts"],
+                    ["doc_id", "n_bytes", "ends", "counts", "steps"],
                 )
 
     return documents_of(docs, id_col, text_col).mapInArrow(run, SCHEMA)
@@ -130,10 +207,21 @@ def totals(table: DataFrame, limit: int) -> DataFrame:
 
 
 def within_budget(table: DataFrame, budget: int) -> DataFrame:
-    """doc_id, kept_chars, kept_tokens: the longest prefix of whole parts of at most budget tokens."""
-    k = F.size(F.filter("counts", lambda c: c <= budget))
-    pick = lambda a: F.when(k > 0, F.try_element_at(a, k)).otherwise(0).cast("long")
-    return table.select("doc_id", pick(F.col("ends")).alias("kept_chars"), pick(F.col("counts")).alias("kept_tokens"))
+    """doc_id, kept_chars, kept_tokens: the longest prefix, in characters, of at most budget tokens."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            chars, tokens = [], []
+            for steps in batch.column("steps"):
+                counts = np.cumsum(np.frombuffer(steps.as_buffer(), np.int8), dtype=np.int64)
+                fits = np.flatnonzero(counts <= budget)
+                chars.append(int(fits[-1]) + 1 if len(fits) else 0)
+                tokens.append(int(counts[fits[-1]]) if len(fits) else 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(chars, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "kept_chars", "kept_tokens"]
+            )
+
+    return table.select("doc_id", "steps").mapInArrow(run, "doc_id long, kept_chars long, kept_tokens long")
 
 
 def tokens_of_prefix(counter: PieceCounter, text: str, ends: list[int], counts: list[int], chars: int) -> int:

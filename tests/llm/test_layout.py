@@ -152,6 +152,33 @@ def test_prefix_table(spark):
     assert prefix_counts.prefix_table(docs.limit(0), PIECES).count() == 0
 
 
+SPACELESS = [
+    "天地玄黄宇宙洪荒" * 20, "これは空白のない長い文章です。" * 9, "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo0NTY3ODkwYWJjZGVm" * 4, "aaaa" * 50, "ab" * 99 + "é𝄞x" * 9,
+    " " * 150 + "x", "\n" + "y" * 120 + "\n\nz", "=" * 90 + "internationalization" * 5, "a lead " + "unbelievablelonghouse" * 6 + " and more\nwords",
+]
+
+
+def test_steps_at_every_prefix():
+    counter = prefix_counts.piece_counter(PIECES)
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = [t for t in TEXTS if t is not None and len(t) < 100] + SPACELESS
+    for text, steps in zip(texts, prefix_counts.prefix_steps(counter, texts)):
+        want = [len(model.encode(text[: i + 1])) for i in range(len(text))]
+        assert np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64).tolist() == want, text
+
+
+@pytest.mark.parametrize("budget", [0, 1, 7, 40])
+def test_the_longest_prefix_within_a_budget(spark, budget):
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = [t for t in TEXTS if t is None or len(t) < 100] + SPACELESS
+    stored = prefix_counts.prefix_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PIECES)
+    for r in prefix_counts.within_budget(stored, budget).collect():
+        text = texts[r.doc_id] or ""
+        counts = [len(model.encode(text[:i])) for i in range(len(text) + 1)]
+        kept = max(i for i, n in enumerate(counts) if n <= budget)
+        assert (r.kept_chars, r.kept_tokens) == (kept, counts[kept]), text
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 1), (9, 8), (8, 7), (5, 5)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 201 + i) for i in range(40)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
