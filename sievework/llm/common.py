@@ -65,6 +65,12 @@ def tasks(spark: SparkSession, items: list, schema: T.StructType | str) -> DataF
     return spark.createDataFrame(spark.sparkContext.parallelize(items, len(items)), schema)
 
 
+def range_tasks(df: DataFrame, column: Column, bytes_each: int = 64 << 20) -> int:
+    """Tasks for a sort of what is made of a text column: as many as shuffles have, more where that would be too much for each."""
+    total = df.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bytes_each))
+
+
 def with_prefix_sums(df: DataFrame, order: list[str], sums: dict[str, str], partitions: int | None = None) -> DataFrame:
     """Adds to each row, for each (new column: non-negative long column), the sum over all rows before it.
 

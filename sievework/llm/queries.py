@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import decontam, hilbert, packing, pivots, prefix_counts, secret_forest, simhash, token_files, toxicity, warc
+from sievework.llm import decontam, divergence, hilbert, line_dedup, packing, periodic, pivots, prefix_counts, secret_forest, simhash, token_files, toxicity, warc
 from sievework.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +143,84 @@ def secret_forest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prefix_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = prefix_counts.prefix_table(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
     return prefix_counts.totals(stored, TOKEN_LIMIT)
+
+
+LINE_SQL = r"""
+WITH l AS (
+  SELECT doc_id, k, s[k] AS line, translate(trim(s[k], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) t(k)
+), m AS (SELECT *, length(key) >= 10 AND min(doc_id) OVER (PARTITION BY key) < doc_id AS dropped FROM l)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+@query("op11_line_dedup", LINE_SQL)
+def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.with_keep(table(spark, sf_dir, "documents"))
+    kept = line_dedup.kept_text(F.col("text"), F.col("keep"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), t AS (SELECT doc_id, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 10),
+langs AS (SELECT lang, count(term) AS v, coalesce(sum(n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+met AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(m.n, 0)::HUGEINT AS n, sum(coalesce(m.n, 0)) OVER (PARTITION BY g.lang, g.source)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM d) g JOIN kept k USING (lang) LEFT JOIN met m USING (lang, source, term)
+), p AS (SELECT lang, source, term, n, 1 + 1000000000 * (n + 2) // (c.total + 2 * v) AS p FROM cells c JOIN langs USING (lang)),
+q AS (SELECT lang, term, 1 + 1000000000 * (n::HUGEINT + 2) // (total + 2 * v) AS q FROM kept JOIN langs USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM (SELECT DISTINCT lang, source FROM d) a JOIN (SELECT DISTINCT lang, source FROM d) b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+  ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, 'pair' AS part FROM pairs UNION ALL BY NAME SELECT *, 'term' AS part FROM terms
+)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM ranked QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+@query("op12_divergence", DIVERGENCE_SQL)
+def divergence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def with_periods(text: Column, doc_id: Column) -> Column:
+    """The text, with a repeated stretch put into those whose id's checksum is a multiple of 10."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    n = F.size(words)
+    g = F.floor(h / 10)
+    a = F.pmod(g, F.greatest(n, F.lit(1))).cast("int")
+    turns = (F.lit(3) + F.pmod(g, F.lit(8))).cast("int")
+    p = F.floor((n - a) / turns).cast("int") + 1
+    again = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), turns)), F.lit(1), n - a)
+    return F.when(F.pmod(h, F.lit(10)) == 0, F.array_join(F.concat(F.slice(words, F.lit(1), a), again), " ")).otherwise(text)
+
+
+@query("op13_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", with_periods(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic.with_runs(docs)
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.call_function("div", 1000 * best["length"], best["period"]).alias("exponent_milli"),
+        F.sha2(periodic.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )

@@ -31,7 +31,7 @@ def test_row_counts(key, spark, sf_dir):
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert len(QUERIES) == 10 and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "decontamination", "secrets", "packing"]
+    assert len(QUERIES) == 13 and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "decontamination", "secrets", "packing"]
 
 
 def test_pipeline_stages(spark, sf_dir):
