@@ -30,6 +30,7 @@ class IngestSpec:
     load_date: str | None = None
     keys: list[str] = field(default_factory=list)
     sequence: list[str] = field(default_factory=list)
+    buckets: int = 0
     options: dict[str, str] = field(default_factory=dict)
     trigger: str = "1 minute"
 
@@ -99,7 +100,8 @@ def _with_provenance(df: DataFrame, spec: IngestSpec) -> DataFrame:
 def run(spark: SparkSession, spec: IngestSpec) -> StreamingQuery | None:
     """Start the load. Only a streaming load returns before it is done.
 
-    incremental and merge remember loaded files in the checkpoint: a rerun loads new files only.
+    incremental and merge remember loaded files in the checkpoint: a rerun loads new files only. A merge with
+    `buckets` rewrites only the hash buckets in which a row changes.
     """
     if spec.load_type not in LOAD_TYPES:
         raise ValueError(f"unknown load type '{spec.load_type}', choose from {list(LOAD_TYPES)}")
@@ -113,7 +115,7 @@ def run(spark: SparkSession, spec: IngestSpec) -> StreamingQuery | None:
     if spec.load_type == "merge":
         if not spec.keys or not spec.sequence:
             raise ValueError("a merge load needs keys, and a sequence that says which row of a key is the last")
-        query = apply_changes(rows, spec.target, spec.keys, spec.sequence, spec.checkpoint, availableNow=True)
+        query = apply_changes(rows, spec.target, spec.keys, spec.sequence, spec.checkpoint, spec.buckets, availableNow=True)
     else:
         trigger = {"availableNow": True} if spec.load_type == "incremental" else {"processingTime": spec.trigger}
         writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", spec.checkpoint)

@@ -11,7 +11,7 @@ from sievework.plans.ingest import IngestSpec
 from sievework.registered.quality import AS_OF, SUITE, row_sql, suite_results
 from sievework.registered.registry import query, scratch_schema, stream_place, table, tables
 from sievework.session import scratch
-from sievework.sources import files, sinks
+from sievework.sources import buckets, files, sinks
 from sievework.streaming import changes, quality
 
 LOADED = "2024-01-31"
@@ -191,6 +191,40 @@ def upsert_orders(spark, sf_dir):
     return spark.table(target)
 
 
+UPSERTED_LINES = """
+    SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 50 = 3 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity, l_returnflag
+    FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL)
+    UNION ALL SELECT -1 - l_orderkey, l_linenumber, 0, 'NEW' FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 50 = 3)
+"""
+
+
+@query("upsert_buckets", UPSERTED_LINES)
+def upsert_buckets(spark, sf_dir):
+    """All order lines, then changed and new ones, into hash buckets; the second load runs twice and the table is cut anew in between."""
+    schema, _ = scratch_schema(spark)
+    target, keys = f"{schema}.lines", ["l_orderkey", "l_linenumber"]
+    lines = table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.max("l_quantity").alias("l_quantity"), F.max("l_returnflag").alias("l_returnflag"))
+    some = lines.filter("l_orderkey % 50 = 3")
+    changed = some.withColumn("l_quantity", F.col("l_quantity") + 1).unionByName(
+        some.select((-1 - F.col("l_orderkey")).alias("l_orderkey"), "l_linenumber", F.lit(0).cast("double").alias("l_quantity"), F.lit("NEW").alias("l_returnflag"))
+    )
+    buckets.upsert(lines, target, keys, 16)
+    buckets.upsert(changed, target, keys, 16)
+    buckets.rebucket(spark, target, 24)
+    if buckets.upsert(changed, target, keys, 16):
+        raise ValueError("a load that ran twice has written files")
+    return spark.table(target)
+
+
+@query("ingest_merge_buckets", EVENTS_LOADED)
+def ingest_merge_buckets(spark, sf_dir):
+    """Keyed load of the events into hash buckets, run twice."""
+    spec = event_spec(spark, sf_dir, "merge", keys=["event_id"], sequence=["ts"], buckets=16)
+    ingest.run(spark, spec)
+    ingest.run(spark, spec)
+    return shown(spark.table(spec.target))
+
+
 @query(
     "load_strategies",
     """
@@ -287,6 +321,21 @@ def stream_apply_changes(spark, sf_dir):
     return spark.table(target).withColumn("ts", F.col("ts").cast("string"))
 
 
+@query(
+    "stream_changes_buckets",
+    "SELECT user_id, event_type, event_id, CAST(ts AS VARCHAR) AS ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+)
+def stream_changes_buckets(spark, sf_dir):
+    """The event feed in two streams, one after the other: changes that come late do not undo newer ones."""
+    schema, folder = scratch_schema(spark)
+    target = f"{schema}.users"
+    for half, side in enumerate(("event_id % 2 = 1", "event_id % 2 = 0")):
+        stream = event_stream(spark, sf_dir).filter(side).select("user_id", "event_type", "event_id", "ts")
+        checkpoint = f"{folder}/users-checkpoint-{half}"
+        changes.apply_changes(stream, target, ["user_id"], ["ts", "event_id"], checkpoint, 16, availableNow=True).awaitTermination()
+    return spark.table(target).withColumn("ts", F.col("ts").cast("string"))
+
+
 @query(
     "stream_suite",
     " UNION ALL ".join(

@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from sievework.sources import buckets as bucketed
 from sievework.sources import sinks
 from sievework.sources.sinks import latest_rows
 
 
 def apply_changes(
-    stream: DataFrame, table: str, keys: list[str], sequence: list[str], checkpoint: str, **trigger
+    stream: DataFrame, table: str, keys: list[str], sequence: list[str], checkpoint: str, buckets: int = 0, **trigger
 ) -> StreamingQuery:
-    """Keyed upsert of a change feed into a versioned table.
+    """Keyed upsert of a change feed into a table in `buckets` hash buckets, of which a batch writes those it
+    changes; or, with 0, into a versioned table that each batch writes whole.
 
     A batch is merged with the stored rows of its keys by sequence, so late and repeated changes
     do not undo newer ones, and a batch run again after a failure changes nothing.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
+        if buckets:
+            bucketed.upsert(batch, table, keys, buckets, sequence, newest=True)
+            return
         spark = batch.sparkSession
         newest = latest_rows(batch, keys, sequence).persist()
         try:
