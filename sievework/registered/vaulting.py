@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.hashing import hash_key
-from sievework.operators import recon, vault
+from sievework.operators import recon, satlog, vault
 from sievework.operators.profile import profile_tables
 from sievework.plans import warehouse
 from sievework.registered.registry import query, scratch_schema, table, tables
@@ -143,6 +143,34 @@ def vault_sat_merge(spark, sf_dir):
     return texts(merged, "load_date", "load_end_date")
 
 
+def log_of(spark, loads: list[DataFrame], day, chunk: str) -> DataFrame:
+    """A stored log after some loads of events."""
+    schema, _ = scratch_schema(spark)
+    target = f"{schema}.sat_log"
+    for rows in loads:
+        satlog.load(satlog.observe(rows, "user_hk", ["user_id"], day, ["event_type"], "web.events", ["ts", "event_id"], chunk), target, "user_hk", 16)
+    return spark.table(target)
+
+
+@query("vault_sat_any_order", SAT_USER)
+def vault_sat_any_order(spark, sf_dir):
+    """Three loads, each with a third of the events of every day, one of them twice: the history of one load."""
+    events = table(spark, sf_dir, "events")
+    thirds = [events.filter(f"pmod(event_id, 3) = {i}") for i in (2, 0, 1, 2)]
+    log = log_of(spark, thirds, F.date_trunc("day", "ts"), "month")
+    return texts(satlog.satellite(log, "user_hk", chunk=None), "load_date", "load_end_date")
+
+
+@query("vault_sat_events_any_order", sat_sql("ts"))
+def vault_sat_events_any_order(spark, sf_dir):
+    """History at full time resolution, the last weeks loaded first."""
+    events = table(spark, sf_dir, "events")
+    newest = events.agg(F.max("ts") - F.expr("INTERVAL 14 DAYS")).scalar()
+    parts = events.withColumn("_late", F.col("ts") > newest)
+    log = log_of(spark, [parts.filter("_late"), parts.filter("not _late and event_id % 2 = 0"), parts.filter("not _late and event_id % 2 = 1")], F.col("ts"), "day")
+    return texts(satlog.satellite(log, "user_hk", chunk="day"), "load_date", "load_end_date")
+
+
 @query(
     "vault_sat_split",
     """

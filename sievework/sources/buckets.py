@@ -62,7 +62,7 @@ def create(spark: SparkSession, table: str, schema: T.StructType, keys: list[str
 
 
 def _make(spark: SparkSession, made: Layout, schema: T.StructType) -> None:
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.toNullable())
     spark.sql(f"CREATE TABLE {made.rows} ({columns}, {BUCKET} INT) USING PARQUET OPTIONS ('partitionOverwriteMode' 'dynamic') PARTITIONED BY ({BUCKET})")
 
 
@@ -141,7 +141,7 @@ def rewrite(
 
     fold(stored rows of these buckets, df) gives their whole new state, in `schema`.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, schema.toNullable()
     made = _open(spark.createDataFrame([], schema), table, keys, buckets)
     arrived = cut(df.withColumn(BUCKET, made.bucket()))
     written = _buckets_of(arrived)
