@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievework.functions import bottomk
+from sievework.session import cut
 from sievework.sources import catalog, files
 
 SAMPLES = 5
@@ -50,12 +52,13 @@ def profile(
     sample_rows: int | None = None,
     approx: bool = False,
     k: int = SAMPLES,
+    seed: int = 0,
 ) -> DataFrame:
     """One row per column: counts, null share, distinct count, samples, min/max/avg of numbers.
 
-    With `sample_rows` the statistics describe a limit-sample while row_count is of the whole
-    table. `approx` estimates the distinct counts with sketches, without shuffling values, and
-    gives no samples.
+    With `sample_rows` the statistics describe that many rows, drawn by `seed`, while row_count is of the
+    whole table. `approx` estimates the distinct counts with sketches and draws the samples by hash (the k
+    values whose hashes with `seed` are smallest): two scans, and no value is shuffled.
     """
     spark = df.sparkSession
     info = spark.createDataFrame(
@@ -65,8 +68,8 @@ def profile(
         ],
         COLUMN_INFO,
     )
-    data = df if sample_rows is None else files.sample_rows(df, sample_rows).persist()
-    stats = _sketched(data) if approx else _exact(data, k)
+    data = df if sample_rows is None else cut(files.sample_rows(df, sample_rows, seed))
+    stats = _sketched(data, k, seed) if approx else _exact(data, k)
     whole = F.col("s.rows")
     if sample_rows is not None:
         total = df.agg(F.count("*").alias("total"))
@@ -133,8 +136,12 @@ def _exact(df: DataFrame, k: int) -> DataFrame:
     return _basic(df, approx=False).join(distinct, "col_no", "left").join(samples, "col_no", "left")
 
 
-def _sketched(df: DataFrame) -> DataFrame:
-    return _basic(df, approx=True).withColumn("sample_values", F.lit(None).cast("array<string>"))
+def _sketched(df: DataFrame, k: int, seed: int) -> DataFrame:
+    basic = cut(_basic(df, approx=True))
+    distinct = {r["col_no"]: r["distinct_count"] for r in basic.select("col_no", "distinct_count").collect()}
+    texts = {str(i): _as_text(f) for i, f in enumerate(df.schema.fields)}
+    samples = bottomk.values(df, texts, distinct, k, seed)
+    return basic.join(samples.select(F.col("name").alias("col_no"), F.col("sample").alias("sample_values")), "col_no", "left")
 
 
 def profile_tables(tables: dict[str, DataFrame], **options) -> DataFrame:
@@ -216,7 +223,7 @@ def with_fallback(live: DataFrame, inventory: DataFrame) -> DataFrame:
     )
 
 
-def cap(columns: DataFrame, max_columns: int = 50, max_samples: int = 5) -> DataFrame:
+def cap(columns: DataFrame, max_columns: int, max_samples: int) -> DataFrame:
     """The first columns of each table and the first samples of each column."""
     place = F.row_number().over(Window.partitionBy("table_name").orderBy("ordinal"))
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.operators import keys, profile
+from sievework.operators import keys, profile, sketches
 from sievework.registered.registry import query, scratch_schema, table, tables
 from sievework.session import cut, scratch
 from sievework.sources import catalog, files, metadata, sinks
@@ -122,6 +122,100 @@ def profile_approx(spark, sf_dir):
     return rough.join(exact, "name").select("name", "row_count", "null_count", (off < 0.2).alias("near_exact"))
 
 
+def drawn_sql(relation: str, column: str, seed: int, k: int = 5) -> str:
+    """The k values of a column with the smallest hashes, joined."""
+    return f"""coalesce((SELECT string_agg(v, '|' ORDER BY md5('{seed}:' || v)) FROM (SELECT DISTINCT CAST({column} AS VARCHAR) AS v
+      FROM {relation} WHERE {column} IS NOT NULL ORDER BY md5('{seed}:' || v) LIMIT {k})), '')"""
+
+
+DRAWN = {"orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"], "documents": ["doc_id", "text", "lang", "source"]}
+
+
+@query(
+    "profile_approx_samples",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS name, count(*) AS row_count, count(*) - count({c}) AS null_count, {drawn_sql(r, c, 3)} AS samples FROM {r}"
+        for t, r in (("orders", GAPPY_ORDERS), ("documents", "documents")) for c in DRAWN[t]
+    ),
+)
+def profile_approx_samples(spark, sf_dir):
+    """Sketched profiles with samples by hash; long texts and NULLs among them."""
+    found = None
+    for name, df in (("orders", gappy_orders(spark, sf_dir)), ("documents", table(spark, sf_dir, "documents"))):
+        one = profile.profile(df.select(*DRAWN[name]), name, approx=True, seed=3)
+        found = one if found is None else found.unionByName(one)
+    return found.select("table_name", "name", "row_count", "null_count", F.array_join("sample_values", "|").alias("samples"))
+
+
+SAMPLED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+SAMPLE_SQL = f"""(SELECT {', '.join(SAMPLED)} FROM orders ORDER BY md5('11:{{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey
+  || ',"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '"}}') LIMIT 700)"""
+
+
+@query("sample_rows", f"SELECT * FROM {SAMPLE_SQL}")
+def sample_rows(spark, sf_dir):
+    """Seven hundred orders, the same whatever the partitioning."""
+    return files.sample_rows(table(spark, sf_dir, "orders").select(*SAMPLED).repartition(13), 700, seed=11)
+
+
+@query(
+    "profile_sampled",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS name, (SELECT count(*) FROM orders) AS row_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count FROM {SAMPLE_SQL}"
+        for c in SAMPLED
+    ),
+)
+def profile_sampled(spark, sf_dir):
+    """The profile of a sample, with the row count of the whole table."""
+    found = profile.profile(table(spark, sf_dir, "orders").select(*SAMPLED), "orders", sample_rows=700, seed=11)
+    return found.select("name", "row_count", "null_count", "distinct_count")
+
+
+QUANTILES = [0.1, 0.5, 0.9]
+UNTAXED = "(SELECT * REPLACE (CASE WHEN l_linenumber < 7 THEN l_tax END AS l_tax) FROM lineitem)"
+
+
+@query(
+    "profile_united",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS name, count(*) AS row_count, count(*) - count({c}) AS null_count,
+          round_even((count(*) - count({c})) / greatest(count(*), 1), 4) AS null_pct,
+          {f"min(CAST({c} AS DOUBLE))" if n else "CAST(NULL AS DOUBLE)"} AS min_num, {f"max(CAST({c} AS DOUBLE))" if n else "CAST(NULL AS DOUBLE)"} AS max_num,
+          {f"round(avg(CAST({c} AS DOUBLE)), 4)" if n else "CAST(NULL AS DOUBLE)"} AS avg_num, CAST(0 AS BIGINT) AS distinct_off, CAST(0 AS BIGINT) AS quantiles_off FROM {UNTAXED}"""
+        for c, _, n in COLUMNS["lineitem"]
+    ),
+)
+def profile_united(spark, sf_dir):
+    """lineitem profiled month by month, in two loads of months, united from the stored states.
+
+    distinct_off: by how many standard errors over three the estimate is away from the count; quantiles_off:
+    how many quantiles lie outside the sketch's rank error.
+    """
+    lines = table(spark, sf_dir, "lineitem").withColumn("l_tax", F.when(F.col("l_linenumber") < 7, F.col("l_tax")))
+    schema, _ = scratch_schema(spark)
+    states = f"{schema}.column_states"
+    month = F.date_format("l_shipdate", "yyyy-MM")
+    for early in (F.month("l_shipdate") <= 6, F.month("l_shipdate") > 6):
+        sinks.append(sketches.column_states(lines.filter(early), {"month": month}), states)
+    whole = cut(sketches.profiles(sketches.unite(spark.table(states)), QUANTILES))
+    found = {r["name"]: r["quantiles"] for r in whole.select("name", "quantiles").collect() if r["quantiles"]}
+    # What the estimates are held against: exact counts, and exact shares of rows below and up to each quantile.
+    facts = []
+    for c, _, _ in COLUMNS["lineitem"]:
+        known = F.count(c)
+        off = [
+            ((F.count_if(F.col(c) < q) / known > p + sketches.RANK_ERROR) | (F.count_if(F.col(c) <= q) / known < p - sketches.RANK_ERROR)).cast("long")
+            for p, q in zip(QUANTILES, found.get(c, []))
+        ]
+        facts.append(F.struct(F.lit(c).alias("name"), F.count_distinct(c).alias("exact"), sum(off, F.lit(0).cast("long")).alias("quantiles_off")))
+    exact = lines.agg(F.array(*facts).alias("all")).select(F.inline("all"))
+    errors = F.abs(F.col("distinct_count") - F.col("exact")) / F.col("exact") / sketches.RELATIVE_ERROR
+    return whole.join(exact, "name").select(
+        "name", "row_count", "null_count", "null_pct", "min_num", "max_num", F.round("avg_num", 4).alias("avg_num"),
+        F.ceil(F.greatest(errors - 3, F.lit(0.0))).alias("distinct_off"), "quantiles_off",
+    )
+
+
 @query(
     "profile_fallback",
     """
@@ -257,6 +351,35 @@ def keys_inclusion(spark, sf_dir):
     return keys.unmatched(t["documents"], "doc_id", t["labels"], "doc_id")
 
 
+#: Comparable columns of all tables, by the families in which values can be equal.
+FAMILIES = {
+    **{t: [(c, {"int": "whole", "bigint": "whole", "double": "fraction", "timestamp_ntz": "time"}.get(d, d)) for c, d, _ in columns] for t, columns in COLUMNS.items()},
+    "events": [("event_id", "whole"), ("ts", "time"), ("user_id", "whole"), ("event_type", "string"), ("value", "fraction"), ("props", "string")],
+    "documents": [("doc_id", "whole"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "whole")],
+    "embeddings": [("vec_id", "whole"), ("label", "whole")],
+    "pages": [("page_id", "whole"), ("url", "string"), ("html", "string")],
+    "benchmark": [("item_id", "whole"), ("text", "string")],
+    "labels": [("doc_id", "whole"), ("quality", "whole"), ("toxic", "whole")],
+    "conversations": [("conv_id", "whole"), ("turn", "whole"), ("role", "string"), ("text", "string")],
+}
+
+
+@query(
+    "keys_inclusions",
+    "WITH v AS ("
+    + " UNION ALL ".join(
+        f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, '{f}' AS f, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL" for t, columns in FAMILIES.items() for c, f in columns
+    )
+    + """), n AS (SELECT t, c, count(*) AS n_values FROM v GROUP BY ALL),
+    s AS (SELECT a.t, a.c, b.t AS other, b.c AS other_c, count(*) AS m FROM v a JOIN v b ON a.f = b.f AND a.v = b.v AND (a.t <> b.t OR a.c <> b.c) GROUP BY ALL)
+    SELECT s.t AS from_table, s.c AS from_column, other AS to_table, other_c AS to_column, n_values FROM s JOIN n ON n.t = s.t AND n.c = s.c AND n_values = m
+    """,
+)
+def keys_inclusions(spark, sf_dir):
+    """Which columns of the whole estate lie within which others."""
+    return keys.inclusions(tables(spark, sf_dir, *FAMILIES))
+
+
 CATALOG_TABLES = ["region", "nation", "supplier", "customer"]
 
 

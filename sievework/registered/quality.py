@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.operators import checks, keys, mapping, profile, recon, vault
+from sievework.operators import checks, digests, keys, mapping, profile, recon, vault
 from sievework.operators.checks import Rule
 from sievework.plans import recommend, suite
 from sievework.registered.profiling import GAPPY_ORDERS, gappy_orders
 from sievework.registered.registry import query, table, tables
+from sievework.session import scratch
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -568,6 +569,38 @@ def recon_row_difference(spark, sf_dir):
     return recon.row_difference(lines, lines.distinct())
 
 
+ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
+#: Orders as a copy with faults holds them: some prices changed, some rows missing, some twice, some new.
+FAULTY_ORDERS = """
+    SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 97 = 5 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+      o_orderdate, nullif(o_orderpriority, CASE WHEN o_orderkey % 101 = 7 THEN o_orderpriority END) AS o_orderpriority FROM {orders} WHERE o_orderkey % 103 <> 9
+    UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM {orders} WHERE o_orderkey % 211 = 3
+    UNION ALL SELECT -1 - o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM {orders} WHERE o_orderkey % 307 = 11
+"""
+
+
+@query(
+    "recon_digests",
+    f"""
+    SELECT {ORDER_COLUMNS.replace('o_orderdate', 'CAST(o_orderdate AS VARCHAR) AS o_orderdate')}, CAST(sum(s) AS BIGINT) AS copies FROM (
+      SELECT {ORDER_COLUMNS}, 1 AS s FROM orders UNION ALL SELECT {ORDER_COLUMNS}, -1 FROM ({FAULTY_ORDERS.format(orders='orders')}))
+    GROUP BY ALL HAVING sum(s) <> 0
+    """,
+)
+def recon_digests(spark, sf_dir):
+    """EXCEPT ALL both ways from digests kept beside two stored tables; only differing ranges are read."""
+    orders = table(spark, sf_dir, "orders")
+    faulty = spark.sql(FAULTY_ORDERS.format(orders="{orders}"), orders=orders)
+    sides = []
+    for df in (orders, faulty):
+        path = scratch(spark, "orders-by-range")
+        digests.store(df, ["o_orderkey"], 256, path)
+        sides.append((spark.read.parquet(path), spark.read.parquet(f"{path}-digests")))
+    (left, left_digests), (right, right_digests) = sides
+    found = digests.difference(left, right, ["o_orderkey"], 256, left_digests, right_digests)
+    return found.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+
+
 @query("recon_idempotency", "SELECT CAST(0 AS BIGINT) AS differing_rows, (SELECT count(*) + 1 FROM customer) AS hub_rows")
 def recon_idempotency(spark, sf_dir):
     """A hub loaded twice: the second load appends nothing, so both states agree."""

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievework.functions import bottomk
+
 FORMATS = ("parquet", "delta", "csv", "json", "avro")
 READ_OPTIONS = {"csv": {"header": "true", "sep": ","}, "json": {"multiLine": "false"}}
 
@@ -50,8 +52,9 @@ def with_table_name(df: DataFrame, root: str, out: str = "table_name") -> DataFr
     return df.withColumn(out, table_name_of(F.col("_metadata.file_path"), root))
 
 
-def sample_rows(df: DataFrame, rows: int = 10_000) -> DataFrame:
-    return df.limit(rows)
+def sample_rows(df: DataFrame, rows: int, seed: int = 0) -> DataFrame:
+    """So many rows, fixed by the seed: the same whatever the partitioning, ruled out in the scan."""
+    return bottomk.rows(df, rows, seed)
 
 
 def sample_share(df: DataFrame, key: Column, share: float, seed: int = 0) -> DataFrame:
