@@ -24,8 +24,9 @@ are 0 and no term is listed.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,8 @@ TOP = 10
 SCALE = 1_000_000_000
 #: Groups and terms on a side of a square, a power of 2; squares side by side in one unit of work.
 SIDE, SQUARES = 64, 8
-#: Distinct (group, term) that a task holds before it passes their counts on; bytes of a text looked at at once.
-HELD, PIECE = 400_000, 1 << 20
+#: (group, term) that a task holds before it passes their counts on; rows of a batch; bytes of a text looked at at once.
+HELD, ROWS, PIECE = 500_000, 1 << 16, 1 << 20
 
 _PLAIN = bytes(
     c if c >= 0x80 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256)
@@ -68,38 +69,64 @@ def _words(text: bytes):
         at = end
 
 
+class _Counts:
+    """Sums over documents by (group, word): words and groups as numbers, sums as sorted arrays."""
+
+    def __init__(self):
+        self.words: dict[bytes, int] = defaultdict(count().__next__)
+        self.groups: dict[tuple[str, str], int] = defaultdict(count().__next__)
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.keys, self.n, self.docs = (np.zeros(0, np.int64) for _ in range(3))
+        self.waiting = 0
+
+    def add(self, lang: str, source: str, text: bytes) -> None:
+        group = self.groups[lang, source]
+        codes = [np.fromiter(map(self.words.__getitem__, words), np.int64) for words in _words(text)]
+        if codes:
+            own, times = np.unique(np.concatenate(codes), return_counts=True)
+            self.new.append((own + (group << 32), times, np.ones(len(own), np.int64)))
+            self.waiting += len(own)
+
+    def combine(self) -> None:
+        keys, n, docs = (np.concatenate(x) for x in zip((self.keys, self.n, self.docs), *self.new))
+        self.new, self.waiting = [], 0
+        if len(keys):
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            self.keys, self.n, self.docs = keys[first], np.add.reduceat(n[order], first), np.add.reduceat(docs[order], first)
+
+    def rows(self) -> Batches:
+        self.combine()
+        names = ["lang", "source", "term", "n", "docs"]
+        lang, source = (pa.array(x, pa.string()) for x in zip(*self.groups))
+        zero = pa.array([0] * len(lang), pa.int64())
+        yield pa.RecordBatch.from_arrays([lang, source, pa.nulls(len(lang), pa.string()), zero, zero], names)
+        terms = pa.array(list(self.words), pa.binary()).cast(pa.string())
+        self.words.clear()
+        for at in range(0, len(self.keys), ROWS):
+            keys, n, docs = (x[at : at + ROWS] for x in (self.keys, self.n, self.docs))
+            group, word = pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF)
+            yield pa.RecordBatch.from_arrays([lang.take(group), source.take(group), terms.take(word), pa.array(n), pa.array(docs)], names)
+
+
 def _count(batches: Batches) -> Batches:
     """lang, source, term, n, docs: sums over this task's documents, passed on when many are held.
 
     Each group comes with a row without a term, so that it is known without terms, too.
     """
-    counts: dict[tuple, Counter] = {}
-    docs: dict[tuple, Counter] = {}
-
-    def out() -> Batches:
-        for (lang, source), n in counts.items():
-            d = docs[lang, source]
-            terms = [None, *n]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(terms, pa.binary()).cast(pa.string()),
-                 pa.array([0, *n.values()], pa.int64()), pa.array([0, *[d[t] for t in n]], pa.int64())],
-                ["lang", "source", "term", "n", "docs"],
-            )
-        counts.clear()
-        docs.clear()
-
+    held = _Counts()
     for batch in batches:
         for part in slices(batch, "text", 4 << 20):
-            for lang, source, text in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), part.column("text").cast(pa.binary())):
-                n = counts.setdefault((lang, source), Counter())
-                seen: set[bytes] = set()
-                for words in _words(text.as_py()):
-                    n.update(words)
-                    seen.update(words)
-                docs.setdefault((lang, source), Counter()).update(seen)
-            if sum(map(len, counts.values())) > HELD:
-                yield from out()
-    yield from out()
+            for lang, source, text in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), part.column("text").cast(pa.large_binary())):
+                held.add(lang, source, text.as_py())
+                if held.waiting > HELD:
+                    held.combine()
+            if len(held.keys) > HELD or len(held.words) > HELD:
+                yield from held.rows()
+                held = _Counts()
+    if held.groups:
+        yield from held.rows()
 
 
 @dataclass
