@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import decontam, divergence, hilbert, line_dedup, packing, periodic, pivots, prefix_counts, secret_forest, simhash, token_files, toxicity, warc
-from sievework.llm.common import shared_folder
+from sievework.llm.common import shared_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -141,8 +141,10 @@ def secret_forest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_prefix_counts")
 def prefix_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = prefix_counts.prefix_table(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
-    return prefix_counts.totals(stored, TOKEN_LIMIT)
+    """Totals, and how much of each text a budget of TOKEN_LIMIT tokens keeps: both from the stored counts."""
+    counts = stored(prefix_counts.prefix_table(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE)), "prefix-counts")
+    over = (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit")
+    return prefix_counts.within_budget(counts, TOKEN_LIMIT, ["n_bytes", "n_tokens"]).select("doc_id", "n_bytes", "n_tokens", over, "kept_chars", "kept_tokens")
 
 
 LINE_SQL = r"""

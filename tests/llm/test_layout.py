@@ -185,3 +185,23 @@ def test_components(spark):
     want = {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7} | {100 + i: 100 for i in range(31)} | {200 + i: 200 for i in range(41)}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_counts_of_the_query(spark, sf_dir):
+    """Every row of op10, and what its budget keeps, against the library on whole texts and prefixes."""
+    from sievework.llm.queries import QUERIES, TOKEN_LIMIT
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    cut = 0
+    for r in QUERIES["op10_prefix_counts"](spark, sf_dir).collect():
+        text = texts.pop(r.doc_id)
+        n = len(model.encode(text))
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > TOKEN_LIMIT)
+        assert r.kept_tokens == len(model.encode(text[: r.kept_chars])) <= TOKEN_LIMIT
+        if r.over_limit:
+            cut += 1
+            assert all(len(model.encode(text[: r.kept_chars + i])) > TOKEN_LIMIT for i in range(1, 4))
+        else:
+            assert r.kept_chars == len(text)
+    assert not texts
