@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import snake_id
+from sievework.operators.reach import cyclic_edges  # noqa: F401
 from sievework.session import cut
 
 LAYERS = ["source", "bronze", "silver", "gold", "serving"]
@@ -82,52 +83,3 @@ def closure(edge_rows: DataFrame, roots: DataFrame, downstream: bool = True, max
             break
         seen = seen.unionByName(frontier)
     return seen.filter("depth > 0")
-
-
-def _peeled(left: DataFrame) -> DataFrame:
-    """Edges left after peeling off, again and again, nodes nothing enters or nothing leaves."""
-    size = left.count()
-    while size:
-        sources = left.select(F.col("from_id").alias("to_id"))
-        targets = left.select(F.col("to_id").alias("from_id"))
-        left = cut(left.join(sources, "to_id", "left_semi").join(targets, "from_id", "left_semi"))
-        rest = left.count()
-        if rest == size:
-            break
-        size = rest
-    return left
-
-
-def _least_reaching(edges: DataFrame, here: str, there: str) -> DataFrame:
-    """(id, least): the smallest node from which each node is reached, itself included."""
-    ids = edges.select(F.col(here).alias("id")).union(edges.select(F.col(there).alias("id"))).distinct()
-    now = cut(ids.withColumn("least", F.col("id")))
-    while True:
-        sent = edges.join(now, edges[here] == now["id"]).select(F.col(there).alias("id"), "least")
-        then = cut(now.unionByName(sent).groupBy("id").agg(F.min("least").alias("least")))
-        if then.join(now, ["id", "least"], "left_anti").isEmpty():
-            return then
-        now = then
-
-
-def cyclic_edges(edge_rows: DataFrame) -> DataFrame:
-    """Edges that lie on a cycle; empty if acyclic.
-
-    Nodes on a cycle are reached by the same nodes and reach the same nodes. After peeling, edges whose ends
-    differ in the smallest node that reaches them, or that they reach, are dropped, until none is: then
-    every part that hangs together holds its own smallest node, which reaches all of it and is reached by
-    all of it. Works on the edges alone, no node pairs are built.
-    """
-    left = _peeled(cut(edge_rows.select("from_id", "to_id").distinct()))
-    size = left.count()
-    while size:
-        for here, there in (("from_id", "to_id"), ("to_id", "from_id")):
-            mark = _least_reaching(left, here, there)
-            begin, end = mark.toDF("from_id", "_begin"), mark.toDF("to_id", "_end")
-            left = cut(left.join(begin, "from_id").join(end, "to_id").filter("_begin = _end").select("from_id", "to_id"))
-        left = _peeled(left)
-        rest = left.count()
-        if rest == size:
-            break
-        size = rest
-    return left.select("from_id", "to_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.operators import lineage, profile, synth
+from sievework.operators import lineage, profile, reach, synth
 from sievework.operators.synth import ColumnSpec
 from sievework.registered.registry import query, table, tables
 
@@ -85,6 +85,35 @@ def lineage_upstream(spark, sf_dir):
     return lineage.closure(edges, roots, downstream=False)
 
 
+@query(
+    "lineage_distances",
+    f"""
+    WITH RECURSIVE e AS (SELECT from_id, to_id FROM ({EDGES})),
+    r AS (SELECT from_id, to_id, 1 AS distance FROM e UNION SELECT r.from_id, e.to_id, distance + 1 FROM r JOIN e ON r.to_id = e.from_id),
+    asked AS (
+      SELECT DISTINCT 'part_' || l_partkey AS from_id, 'nation_' || (l_partkey % 25) AS to_id FROM lineitem
+      UNION ALL SELECT 'supplier_' || s_suppkey, 'region_' || (s_suppkey % 5) FROM supplier
+      UNION ALL SELECT 'region_' || r_regionkey, 'nation_' || r_regionkey FROM region
+    )
+    SELECT from_id, to_id, min(distance) AS distance FROM asked LEFT JOIN r USING (from_id, to_id) GROUP BY ALL
+    """,
+)
+def lineage_distances(spark, sf_dir):
+    """Does a part depend on a nation, a supplier on a region, and how far: from a label index, without a closure."""
+    t = tables(spark, sf_dir, "lineitem", "supplier", "region")
+
+    def node(label: str, number):
+        return F.concat(F.lit(f"{label}_"), number.cast("string"))
+
+    part, supplier, region = F.col("l_partkey"), F.col("s_suppkey"), F.col("r_regionkey")
+    asked = (
+        t["lineitem"].select(node("part", part).alias("from_id"), node("nation", F.pmod(part, F.lit(25))).alias("to_id")).distinct()
+        .unionByName(t["supplier"].select(node("supplier", supplier).alias("from_id"), node("region", F.pmod(supplier, F.lit(5))).alias("to_id")))
+        .unionByName(t["region"].select(node("region", region).alias("from_id"), node("nation", region).alias("to_id")))
+    )
+    return reach.distances(asked, reach.label_index(lineage.edges(supply_chain(spark, sf_dir))))
+
+
 @query(
     "lineage_cycles",
     """

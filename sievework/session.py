@@ -49,3 +49,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and go on from there, so loops keep a short lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """As cut, by files of its own: what is read again carries nothing of the plan before.
+
+    A checkpoint keeps the constraints that its plan implied; in loops that compare columns these multiply
+    from round to round until the optimizer does nothing else.
+    """
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
