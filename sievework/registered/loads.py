@@ -282,6 +282,29 @@ def stream_dedupe(spark, sf_dir):
     return spark.read.option("basePath", path).parquet(path).select("event_id", "user_id")
 
 
+@query(
+    "stream_first_rows",
+    """
+    SELECT actor, event_id, event_type FROM (SELECT CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS actor, event_id, event_type, ts FROM events)
+    QUALIFY row_number() OVER (PARTITION BY actor ORDER BY ts, event_id) = 1
+    """,
+)
+def stream_first_rows(spark, sf_dir):
+    """The first event of each actor, a third of all events on one; files of later events arrive between two runs of the stream."""
+    schema, folder = scratch_schema(spark)
+    path, feed = scratch(spark, "first-rows"), scratch(spark, "feed")
+    events = table(spark, sf_dir, "events").withColumn("actor", F.when(F.col("event_id") % 3 == 0, F.lit(-1).cast("long")).otherwise(F.col("user_id")))
+    moment = F.unix_micros(F.col("ts").cast("timestamp"))
+    half = events.agg(F.percentile_approx(moment, 0.5)).scalar()
+    for part in (moment <= half, moment > half):
+        events.filter(part).select("actor", "event_id", "event_type", "ts").write.mode("append").parquet(feed)
+        stream = files.stream(spark, feed, "parquet", "actor long, event_id long, event_type string, ts timestamp_ntz")
+        quality.write_first_rows(
+            stream, "ts", ["actor"], ["ts", "event_id"], path, f"{schema}.actors", 16, f"{folder}/first-checkpoint", availableNow=True
+        ).awaitTermination()
+    return spark.read.option("basePath", path).parquet(path).select("actor", "event_id", "event_type")
+
+
 @query(
     "stream_quarantine",
     """

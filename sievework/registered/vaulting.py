@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.hashing import hash_key
-from sievework.operators import recon, satlog, vault
+from sievework.operators import asof, recon, satlog, vault
 from sievework.operators.profile import profile_tables
 from sievework.plans import warehouse
 from sievework.registered.registry import query, scratch_schema, table, tables
@@ -482,3 +482,30 @@ def vault_coverage(spark, sf_dir):
     return customer.agg(F.count("*").alias("source_rows")).select(
         "source_rows", differing.scalar().alias("differing_rows"), F.lit(uncovered).alias("uncovered")
     )
+
+
+@query(
+    "vault_as_of",
+    f"""
+    WITH types AS ({SAT_USER}),
+    bands AS (
+      SELECT user_id, ts AS load_date, band FROM (
+        SELECT *, lag(band) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM (
+          SELECT user_id, ts, CAST(floor(value / 25) AS BIGINT) AS band FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1))
+      WHERE before IS NULL OR before <> band
+    ), asked AS (SELECT event_id, user_id, sha256(CAST(user_id AS VARCHAR)) AS user_hk, ts - INTERVAL 3 DAY AS at FROM events)
+    SELECT a.event_id, t.event_type AS day_event_type, b.band AS band_band
+    FROM asked a ASOF LEFT JOIN (SELECT user_hk, CAST(load_date AS TIMESTAMP) AS load_date, event_type FROM types) t ON a.user_hk = t.user_hk AND a.at >= t.load_date
+    ASOF LEFT JOIN bands b ON a.user_id = b.user_id AND a.at >= b.load_date
+    """,
+)
+def vault_as_of(spark, sf_dir):
+    """Each event with what two satellites of its user held three days before it."""
+    events = table(spark, sf_dir, "events")
+    banded = events.withColumn("band", F.floor(F.col("value") / 25))
+    bands = vault.satellite(banded, "user_hk", ["user_id"], F.col("ts"), ["band"], "web.events", ["ts", "event_id"], chunk="day")
+    asked = events.select("event_id", hash_key(F.col("user_id")).alias("user_hk"), (F.col("ts") - F.expr("INTERVAL 3 DAYS")).alias("at"))
+    found = asof.as_of(
+        asked, {"day": sat_user(spark, sf_dir), "band": bands}, ["user_hk"], "at", {"day": ["event_type"], "band": ["band"]}, unit="week"
+    )
+    return found.select("event_id", "day_event_type", "band_band")
