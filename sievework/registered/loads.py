@@ -11,7 +11,7 @@ from sievework.plans.ingest import IngestSpec
 from sievework.registered.quality import AS_OF, SUITE, row_sql, suite_results
 from sievework.registered.registry import query, scratch_schema, stream_place, table, tables
 from sievework.session import scratch
-from sievework.sources import buckets, files, sinks
+from sievework.sources import buckets, evolving, files, sinks
 from sievework.streaming import changes, quality
 
 LOADED = "2024-01-31"
@@ -116,6 +116,33 @@ def ingest_configs(spark, sf_dir):
     )
 
 
+@query(
+    "ingest_evolving",
+    """
+    SELECT event_id, user_id, CASE WHEN third = 2 AND event_id % 5 = 0 THEN NULL ELSE value END AS value, CAST(ts AS VARCHAR) AS ts,
+      CASE WHEN third >= 1 THEN event_type END AS event_type,
+      CASE WHEN third = 2 AND event_id % 5 = 0 THEN '{"value":"about ' || event_id || '"}' END AS _rescued FROM (SELECT *, event_id % 3 AS third FROM events)
+    UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, '{"_line":"no object"}'
+    """,
+)
+def ingest_evolving(spark, sf_dir):
+    """Three deliveries of events: the second has a column more, in the third some values are texts and a line is broken."""
+    feed, target, log = (scratch(spark, name) for name in ("feed", "evolving", "schema-log"))
+    events = table(spark, sf_dir, "events")
+    number = F.col("value").cast("string")
+    odd = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("about "), F.col("event_id").cast("string"))).otherwise(number)
+    deliveries = [["event_id", "user_id", "value", "ts"], ["event_id", "user_id", "value", "ts", "event_type"], ["event_id", "user_id", odd.alias("value"), "ts", "event_type"]]
+    for third, shape in enumerate(deliveries):
+        part = events.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).filter(F.col("event_id") % 3 == third).select(*shape)
+        lines = part.select(F.to_json(F.struct(*part.columns)).alias("value"))
+        if third == 2:
+            lines = lines.unionByName(spark.createDataFrame([("no object",)], "value string"))
+        lines.write.mode("append").text(feed)
+        evolving.load(spark, feed, target, log, f"{log}-checkpoint", availableNow=True, pattern="*.txt").awaitTermination()
+    found = evolving.read(spark, target, log)
+    return found.select("event_id", "user_id", "value", F.col("ts").cast("string").alias("ts"), "event_type", "_rescued")
+
+
 @query(
     "registry_append",
     " UNION ALL ".join(f"SELECT rule_type, failures, 2 * count(*) AS copies FROM ({row_sql(r, sql)}) GROUP BY 1, 2, column_name, table_name" for r, sql in SUITE),
