@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import SPACE
-from sievework.operators import artifacts, corpus, runlog
+from sievework.operators import artifacts, corpus, passages, runlog
 from sievework.registered.registry import query, scratch_schema, table
 from sievework.session import scratch
 from sievework.sources import files, sinks
@@ -71,6 +71,14 @@ def corpus_score_topk(spark, sf_dir):
     return corpus.top_k(doc_chunks(spark, sf_dir), QUERY_WORDS).select("query", "score", "doc_id", "chunk_no", "place")
 
 
+@query("corpus_search", TOP + " SELECT query, CAST(score AS BIGINT) AS score, doc_id, chunk_no, CAST(place AS INTEGER) AS place FROM ranked WHERE place <= 3")
+def corpus_search(spark, sf_dir):
+    """The same best passages from stored trigram postings: only passages that can hold a keyword are scored."""
+    path = scratch(spark, "passages")
+    passages.build(doc_chunks(spark, sf_dir), path)
+    return passages.search(spark, path, QUERY_WORDS, 3).select("query", "score", "doc_id", "chunk_no", "place")
+
+
 @query(
     "corpus_budget",
     TOP
