@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.session import cut
+
 
 def _cut(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
     """Rows with their piece. As a struct it joins NULL keys too, and all steps share its partitioning."""
@@ -71,3 +73,19 @@ def changes(
     joined = rows.join(ends.select("_piece", "_opens", "_beyond"), "_piece")
     changed = joined.filter(F.when(first, F.col("_opens")).otherwise(differs(F.col("_before"))))
     return changed.select(*df.columns, F.coalesce(F.lead(order).over(inside), F.col("_beyond")).alias(end))
+
+
+def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
+    """df with the place of each row by `order`, from 0, over the whole table.
+
+    Rows are sorted in ranges; the driver sees one count per range, and places are taken inside the ranges.
+    """
+    ranged = cut(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    sizes = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()}
+    base, begins = 0, []
+    for part in sorted(sizes):
+        begins.append((part, base))
+        base += sizes[part]
+    bases = df.sparkSession.createDataFrame(begins, "_range int, _base bigint")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return ranged.withColumn("_in", inside).join(F.broadcast(bases), "_range").withColumn(out, F.col("_base") + F.col("_in")).drop("_range", "_in", "_base")

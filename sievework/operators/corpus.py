@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from sievework.functions.text import CHARS_PER_TOKEN, SPACE, occurrences, strip, tokens
 
 BLANK_LINE = rf"\n{SPACE}*\n"
-MAX_CHUNKS = 3
-PROMPT_TOKENS = 3000
 
 # Fixed values
 STOP_WORDS = ["the", "a", "an", "and", "or", "is", "in", "of", "to", "for"]
@@ -64,7 +62,7 @@ def score(lowered: Column, keywords: list[str]) -> Column:
     return total
 
 
-def top_k(chunk_rows: DataFrame, queries: dict[str, list[str]], k: int = MAX_CHUNKS) -> DataFrame:
+def top_k(chunk_rows: DataFrame, queries: dict[str, list[str]], k: int) -> DataFrame:
     """The k best passages per query, case ignored, ties in document order.
 
     queries are keyword lists of a few questions, part of the plan. Each task keeps its own k best
@@ -83,19 +81,19 @@ def top_k(chunk_rows: DataFrame, queries: dict[str, list[str]], k: int = MAX_CHU
 
 
 def fit_budget(
-    ranked: DataFrame, max_tokens: int = PROMPT_TOKENS, reserved: int = 0, k: int = MAX_CHUNKS
+    ranked: DataFrame, max_tokens: int, reserved: int = 0, k: int | None = None
 ) -> DataFrame:
-    """The first passages per query whose tokens fit the budget; stops at the first that does not."""
+    """The first passages per query (of the first k) whose tokens fit the budget; stops at the first that does not."""
     running = Window.partitionBy("query").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        ranked.filter(F.col("place") <= k)
+        (ranked if k is None else ranked.filter(F.col("place") <= k))
         .withColumn("tokens", tokens(F.col("chunk")))
         .withColumn("used", F.sum("tokens").over(running))
         .filter(F.col("used") <= max_tokens - reserved)
     )
 
 
-def over_budget(df: DataFrame, text: str, limit: int = PROMPT_TOKENS) -> DataFrame:
+def over_budget(df: DataFrame, text: str, limit: int) -> DataFrame:
     return df.withColumn("tokens", tokens(F.col(text))).withColumn("over_budget", F.col("tokens") > limit)
 
 

@@ -18,7 +18,14 @@ def label(rule: Rule) -> str:
     return "_".join([rule.rule_type, *rule.columns])
 
 
-def _result(rule: Rule, failures: Column) -> Column:
+def labels(rules: list[Rule]) -> list[str]:
+    """A label for each rule of a suite: type and columns; rules that share these are told apart by their id, or else by their place."""
+    plain = [label(r) for r in rules]
+    named = [f"{text}_{r.rule_id}" if plain.count(text) > 1 and r.rule_id else text for text, r in zip(plain, rules)]
+    return [f"{text}_{named[: i + 1].count(text)}" if named.count(text) > 1 else text for i, text in enumerate(named)]
+
+
+def _result(rule: Rule, text: str, failures: Column) -> Column:
     failures = failures.cast("bigint")
     return F.struct(
         F.lit(rule.rule_id).alias("rule_id"),
@@ -27,7 +34,7 @@ def _result(rule: Rule, failures: Column) -> Column:
         F.lit(rule.column).cast("string").alias("column_name"),
         F.lit(rule.priority).alias("priority"),
         F.lit(rule.fail_action).alias("fail_action"),
-        F.lit(label(rule)).alias("monitoring_label"),
+        F.lit(text).alias("monitoring_label"),
         failures.alias("failures"),
         (failures == 0).alias("passed"),
     )
@@ -38,18 +45,18 @@ def run(tables: dict[str, DataFrame], rules: list[Rule], as_of: str) -> DataFram
     unknown = {r.rule_type for r in rules} - set(checks.RULE_TYPES)
     if unknown:
         raise ValueError(f"unknown rule types {sorted(unknown)}")
-    scanned: dict[str, list[Rule]] = {}
+    scanned: dict[str, list[tuple[Rule, str]]] = {}
     parts = []
-    for rule in rules:
+    for rule, text in zip(rules, labels(rules)):
         if rule.rule_type in checks.JOINED_RULES:
             one = checks.JOINED_RULES[rule.rule_type](rule, tables)
-            parts.append(one.select(F.inline(F.array(_result(rule, F.col("failures"))))))
+            parts.append(one.select(F.inline(F.array(_result(rule, text, F.col("failures"))))))
         else:
-            scanned.setdefault(rule.table, []).append(rule)
+            scanned.setdefault(rule.table, []).append((rule, text))
     for table, mine in scanned.items():
         df = tables[table]
-        counts = df.agg(*[checks.aggregate(r, df, as_of).alias(f"f{i}") for i, r in enumerate(mine)])
-        results = [_result(r, F.col(f"f{i}")) for i, r in enumerate(mine)]
+        counts = df.agg(*[checks.aggregate(r, df, as_of).alias(f"f{i}") for i, (r, _) in enumerate(mine)])
+        results = [_result(r, text, F.col(f"f{i}")) for i, (r, text) in enumerate(mine)]
         parts.append(counts.select(F.inline(F.array(*results))))
     out = parts[0]
     for part in parts[1:]:
@@ -90,7 +97,7 @@ def enforce(results: DataFrame) -> None:
 
 def quarantine(df: DataFrame, rules: list[Rule], as_of: str | None = None) -> DataFrame:
     """Mark each row with the labels of the row rules it breaks; an empty list means good."""
-    broken = [F.when(checks.bad_row(r, df, as_of), F.lit(label(r))) for r in rules if r.rule_type in checks.ROW_RULES]
+    broken = [F.when(checks.bad_row(r, df, as_of), F.lit(text)) for r, text in zip(rules, labels(rules)) if r.rule_type in checks.ROW_RULES]
     return df.withColumn("broken_rules", F.array_compact(F.array(*broken)))
 
 

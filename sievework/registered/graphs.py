@@ -300,3 +300,29 @@ def synth_masked(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
     out = synth.masked(customer, F.col("c_custkey"), 0.25, ["c_name"], seed=5)
     return out.select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query(
+    "synth_from_values",
+    """
+    WITH s AS (SELECT list(v ORDER BY v) AS vs FROM (SELECT DISTINCT p_name AS v FROM part WHERE p_name IS NOT NULL))
+    SELECT o_orderkey, vs[CAST(o_orderkey % len(vs) + 1 AS BIGINT)] AS p_name FROM orders, s
+    """,
+)
+def synth_from_values(spark, sf_dir):
+    """Every distinct part name takes its turn; one row per order."""
+    t = tables(spark, sf_dir, "orders", "part")
+    return synth.from_values(t["orders"].select("o_orderkey"), F.col("o_orderkey"), t["part"], "p_name")
+
+
+TABLE_COLUMNS = ["client_id", "guests", "rating", "sort_order", "ticket", "points"]
+
+
+@query(
+    "synth_table",
+    "SELECT " + ", ".join(f"{SYNTH_SQL[c]} AS {c}" for c in TABLE_COLUMNS) + " FROM (SELECT unnest(range((SELECT count(*) FROM orders))) AS r)",
+)
+def synth_table(spark, sf_dir):
+    """A synthetic table with as many rows as there are orders."""
+    n = table(spark, sf_dir, "orders").count()
+    return synth.table(spark, NAME, [ColumnSpec(c, TYPES.get(c, "string"), False) for c in TABLE_COLUMNS], rows=n, seed=SEED)

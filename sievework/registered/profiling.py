@@ -383,6 +383,41 @@ def keys_inclusions(spark, sf_dir):
 CATALOG_TABLES = ["region", "nation", "supplier", "customer"]
 
 
+@query(
+    "catalog_names",
+    " UNION ALL ".join(f"SELECT 'spark_catalog' AS catalog_name, '{t}' AS table_name, count(*) AS n, true AS schema_listed FROM {t}" for t in CATALOG_TABLES),
+)
+def catalog_names(spark, sf_dir):
+    """Catalogs, schemas and tables found by name, from a schema given as catalog.schema."""
+    schema, _ = scratch_schema(spark)
+    for name, df in tables(spark, sf_dir, *CATALOG_TABLES).items():
+        sinks.full_refresh(df, f"{schema}.{name}")
+    home, own = catalog.parse_schema_name(f" spark_catalog.{schema}. ")
+    found = None
+    for name in catalog.list_tables(spark, f"{home}.{own}") if home in catalog.list_catalogs(spark) else []:
+        one = spark.table(f"{home}.{own}.{name}").agg(F.count("*").alias("n")).select(
+            F.lit(home).alias("catalog_name"), F.lit(name).alias("table_name"), "n", F.lit(own in catalog.list_schemas(spark, home)).alias("schema_listed")
+        )
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query(
+    "keys_guard",
+    """
+    SELECT 'together' AS loaded, 'labels' AS from_table, 'doc_id' AS from_column, 'doc' AS to_table, 'high' AS confidence, count(*) AS n FROM labels
+    """,
+)
+def keys_guard(spark, sf_dir):
+    """One table alone has no relationships, with the table it refers to it has one."""
+    t = tables(spark, sf_dir, "labels", "documents")
+    columns = cut(profile.profile_tables({"labels": t["labels"], "doc": t["documents"].select("doc_id", "lang")}))
+    alone = keys.resolve(columns.filter("table_name = 'labels'")).withColumn("loaded", F.lit("alone"))
+    both = alone.unionByName(keys.resolve(columns).withColumn("loaded", F.lit("together")))
+    rows = t["labels"].agg(F.count("*")).scalar()
+    return both.select("loaded", "from_table", "from_column", "to_table", "confidence").withColumn("n", rows)
+
+
 @query("catalog_profile", " UNION ALL ".join(profile_sql(name) for name in CATALOG_TABLES))
 def catalog_profile(spark, sf_dir):
     """Tables registered in a catalog schema, found and profiled by name."""

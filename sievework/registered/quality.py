@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.operators import checks, digests, keys, mapping, profile, recon, vault
 from sievework.operators.checks import Rule
 from sievework.plans import recommend, suite
 from sievework.registered.profiling import GAPPY_ORDERS, gappy_orders
 from sievework.registered.registry import query, table, tables
-from sievework.session import scratch
+from sievework.session import cut, scratch
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -450,6 +451,56 @@ def dq_recommend_run(spark, sf_dir):
     return suite.run(named, rules, AS_OF).select("table_name", "rule_type", "column_name", "failures")
 
 
+@query(
+    "dq_same_type",
+    """
+    SELECT 'DQ_001' AS rule_id, 'REGEX_PATTERN_source_DQ_001' AS monitoring_label, count(*) FILTER (NOT regexp_matches(source, '^src[0-9]+$')) AS failures FROM documents
+    UNION ALL SELECT 'DQ_002', 'REGEX_PATTERN_source_DQ_002', count(*) FILTER (NOT regexp_matches(source, '[02468]$')) FROM documents
+    UNION ALL SELECT 'DQ_003', 'NOT_NULL_source', count(*) FILTER (source IS NULL) FROM documents
+    """,
+)
+def dq_same_type(spark, sf_dir):
+    """Two patterns for one column keep labels of their own."""
+    rules = [
+        Rule("documents", "REGEX_PATTERN", "source", params={"pattern": "^src[0-9]+$"}, rule_id="DQ_001"),
+        Rule("documents", "REGEX_PATTERN", "source", params={"pattern": "[02468]$"}, rule_id="DQ_002"),
+        Rule("documents", "NOT_NULL", "source", rule_id="DQ_003"),
+    ]
+    return suite.run(tables(spark, sf_dir, "documents"), rules, AS_OF).select("rule_id", "monitoring_label", "failures")
+
+
+@query(
+    "dq_recommend_contacts",
+    """
+    WITH c AS (SELECT count(*) AS n, count(DISTINCT c_custkey) AS d, count(*) FILTER (c_custkey % 10 = 0) / count(*) AS gap FROM customer),
+    rules AS (
+      SELECT 'contact' AS t, 'P1' AS p, 'NOT_NULL' AS r, 'contact_id' AS c FROM c WHERE n = d UNION ALL SELECT 'contact', 'P1', 'UNIQUE', 'contact_id' FROM c WHERE n = d
+      UNION ALL SELECT 'contact', 'P1', 'NOT_NULL', 'nation_id' UNION ALL SELECT 'contact', 'P1', 'REFERENTIAL', 'nation_id' UNION ALL SELECT 'contact', 'P1', 'ROW_COUNT', NULL
+      UNION ALL SELECT 'contact', 'P2', 'COMPLETENESS', 'phone' FROM c WHERE round_even(gap, 4) BETWEEN 0.01 AND 0.2
+      UNION ALL SELECT 'contact', 'P4', 'REGEX_PATTERN', 'email' UNION ALL SELECT 'contact', 'P4', 'REGEX_PATTERN', 'phone'
+      UNION ALL SELECT 'nation', 'P1', 'NOT_NULL', 'nation_id' UNION ALL SELECT 'nation', 'P1', 'UNIQUE', 'nation_id' UNION ALL SELECT 'nation', 'P1', 'ROW_COUNT', NULL
+      UNION ALL SELECT 'nation', 'P4', 'ENUM_CHECK', 'n_name' FROM (SELECT count(DISTINCT n_name) AS k FROM nation) WHERE k < 30
+    )
+    SELECT t AS table_name, r AS rule_type, c AS column_name, p AS priority, 'DQ_00' || row_number() OVER (PARTITION BY t ORDER BY p, r, c NULLS FIRST) AS rule_id FROM rules
+    QUALIFY row_number() OVER (PARTITION BY t ORDER BY p, r, c NULLS FIRST) <= 7
+    """,
+)
+def dq_recommend_contacts(spark, sf_dir):
+    """Patterns by column name, a gap in a column, relationships that come twice, and at most seven rules per table."""
+    t = tables(spark, sf_dir, "customer", "nation")
+    key = F.col("c_custkey")
+    contact = t["customer"].select(
+        key.alias("contact_id"), F.concat(F.lit("c"), key.cast("string"), F.lit("@example.com")).alias("email"),
+        F.when(key % 10 != 0, F.concat(F.lit("+49 "), (key + 1_000_000).cast("string"))).alias("phone"), F.col("c_nationkey").alias("nation_id"),
+    )
+    nation = t["nation"].select(F.col("n_nationkey").alias("nation_id"), "n_name")
+    columns = cut(profile.profile_tables({"contact": contact, "nation": nation}, k=30))
+    edges = keys.resolve(columns)
+    flagged = keys.with_foreign_keys(keys.primary_keys(columns), edges)
+    rules = recommend.recommend(flagged.withColumn("is_business_key", F.lit(False)), edges.unionByName(edges), max_rules=7, enum_limit=30)
+    return rules.select("table_name", "rule_type", "column_name", "priority", "rule_id")
+
+
 @query(
     "dq_quarantine",
     """
@@ -628,6 +679,14 @@ MAPPING = mapping.Mapping(
 )
 
 
+@query("mapping_unmapped", "SELECT c AS column_name, (SELECT count(*) FROM customer) AS n FROM (VALUES ('customer_id'), ('phone'), ('load_note')) t(c) WHERE c <> 'customer_id'")
+def mapping_unmapped(spark, sf_dir):
+    """Columns of a target that its mapping does not fill, with the rows they would leave empty."""
+    target = T.StructType([T.StructField(c, T.StringType()) for c in ("customer_hk", "customer_id", "phone", "load_note", *mapping.STANDARD_COLUMNS)])
+    missing = spark.createDataFrame([(c,) for c in mapping.unmapped(target, MAPPING)], "column_name string")
+    return missing.withColumn("n", table(spark, sf_dir, "customer").agg(F.count("*")).scalar())
+
+
 @query(
     "mapping_apply",
     """

@@ -51,6 +51,16 @@ def corpus_chunks(spark, sf_dir):
     )
 
 
+@query("corpus_chunks_blank", CHUNKS + " SELECT doc_id, chunk_no, md5(chunk) AS chunk_md5, length(chunk) AS n_chars FROM chunks")
+def corpus_chunks_blank(spark, sf_dir):
+    """Paragraphs that blank lines part, some of them with blanks in the line, packed into passages."""
+    apart = F.replace("text", F.lit("\n"), F.when(F.col("doc_id") % 2 == 0, F.lit("\n \t\n")).otherwise(F.lit("\n\n")))
+    docs = table(spark, sf_dir, "documents").withColumn("text", apart)
+    return corpus.chunks(docs, CHUNK_TOKENS).select(
+        "doc_id", "chunk_no", F.md5("chunk").alias("chunk_md5"), F.length("chunk").cast("bigint").alias("n_chars")
+    )
+
+
 def count_sql(word: str) -> str:
     return f"((length(lower(chunk)) - length(replace(lower(chunk), '{word}', ''))) // {len(word)})"
 
@@ -68,7 +78,7 @@ TOP = (
 
 @query("corpus_score_topk", TOP + " SELECT query, CAST(score AS BIGINT) AS score, doc_id, chunk_no, CAST(place AS INTEGER) AS place FROM ranked WHERE place <= 3")
 def corpus_score_topk(spark, sf_dir):
-    return corpus.top_k(doc_chunks(spark, sf_dir), QUERY_WORDS).select("query", "score", "doc_id", "chunk_no", "place")
+    return corpus.top_k(doc_chunks(spark, sf_dir), QUERY_WORDS, 3).select("query", "score", "doc_id", "chunk_no", "place")
 
 
 @query("corpus_search", TOP + " SELECT query, CAST(score AS BIGINT) AS score, doc_id, chunk_no, CAST(place AS INTEGER) AS place FROM ranked WHERE place <= 3")
@@ -90,7 +100,7 @@ def corpus_search(spark, sf_dir):
     """,
 )
 def corpus_budget(spark, sf_dir):
-    ranked = corpus.top_k(doc_chunks(spark, sf_dir), QUERY_WORDS)
+    ranked = corpus.top_k(doc_chunks(spark, sf_dir), QUERY_WORDS, 3)
     return corpus.fit_budget(ranked, max_tokens=250, reserved=20).select("query", "place", "tokens", "used")
 
 

@@ -87,8 +87,8 @@ RUN_RESULT = T.StructType(
 )
 
 
-def read_run_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Run-result files; `output` is kept as JSON text, whether stored as text or as an object."""
+def read_run_results(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Run results, one JSON document per line, or with `multi_line` per file (read by one task each); `output` is kept as JSON text, whether stored as text or as an object."""
     return spark.read.schema(RUN_RESULT).option("multiLine", multi_line).json(path)
 
 

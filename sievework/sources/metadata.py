@@ -21,8 +21,8 @@ TABLE_FIELDS = (
 )
 
 
-def read_inventory(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(tables, rejects). Each file, or each line of it, holds one table object or an array of them."""
+def read_inventory(spark: SparkSession, path: str, lines: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(tables, rejects). Each line holds one table object or an array of them; without `lines` each file does, read whole by one task."""
     raw = spark.read.text(path, wholetext=not lines).select(F.trim("value").alias("raw"))
     is_array = F.col("raw").startswith("[")
     each = F.when(is_array, F.from_json("raw", "ARRAY<STRING>")).otherwise(F.array("raw"))

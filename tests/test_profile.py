@@ -152,7 +152,7 @@ def test_corpus_files(spark, tmp_path):
 def test_run_results_of_both_shapes(spark, tmp_path):
     (tmp_path / "a.json").write_text('{\n "agent_id": "x", "run_id": "1", "output": "```json\\n{}\\n```",\n "token_usage": {"prompt": 5}}')
     (tmp_path / "b.json").write_text('{\n "agent_id": "y", "status": "success", "output": {"profiles": []}}')
-    got = {r["agent_id"]: r for r in files.read_run_results(spark, str(tmp_path)).collect()}
+    got = {r["agent_id"]: r for r in files.read_run_results(spark, str(tmp_path), multi_line=True).collect()}
     assert got["x"]["output"].startswith("```json")
     assert got["x"]["token_usage"]["prompt"] == 5
     assert got["y"]["output"] == '{"profiles": []}'
@@ -169,7 +169,7 @@ def test_inventory_files(spark, tmp_path):
         ' {"table_name": "f", "columns": [{"name": "a"}]}, {"table_name": "g", "columns": [{"name": "a", "data_type": "int"}]}]'
     )
     (tmp_path / "bad.json").write_text("nothing here")
-    good, rejects = metadata.read_inventory(spark, str(tmp_path))
+    good, rejects = metadata.read_inventory(spark, str(tmp_path), lines=False)
     got = {r["table_name"]: r for r in good.collect()}
     assert set(got) == {"customer", "g"}
     column = got["customer"]["columns"][0]
