@@ -144,6 +144,13 @@ def _sketched(df: DataFrame, k: int, seed: int) -> DataFrame:
     return basic.join(samples.select(F.col("name").alias("col_no"), F.col("sample").alias("sample_values")), "col_no", "left")
 
 
+def profile_path(
+    spark: SparkSession, path: str, fmt: str, schema: T.StructType | str | None = None, read_options: dict[str, str] | None = None, **options
+) -> DataFrame:
+    """The profile of a csv, json or parquet file or folder, named after it; options are those of `profile`."""
+    return profile(files.read(spark, path, fmt, schema, **(read_options or {})), files.table_name(path), **options)
+
+
 def profile_tables(tables: dict[str, DataFrame], **options) -> DataFrame:
     """Profiles of many tables, one distributed aggregate each."""
     out = None

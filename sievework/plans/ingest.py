@@ -24,7 +24,7 @@ class IngestSpec:
     source_format: str = "parquet"
     source_path: str = ""
     target_schema: str = "bronze"
-    checkpoint_base: str = "/Volumes/checkpoints"
+    checkpoint_base: str = ""
     columns: list[str] = field(default_factory=list)
     record_source: str = ""
     load_date: str | None = None
@@ -34,6 +34,10 @@ class IngestSpec:
     options: dict[str, str] = field(default_factory=dict)
     trigger: str = "1 minute"
 
+    def __post_init__(self) -> None:
+        if not self.checkpoint_base:
+            raise ValueError("name a shared folder for checkpoints (checkpoint_base)")
+
     @property
     def path(self) -> str:
         return self.source_path or f"{self.checkpoint_base}/source/{self.table}/"

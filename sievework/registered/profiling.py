@@ -106,6 +106,48 @@ def profile_summary(spark, sf_dir):
     return profile.summary(profile.profile_tables(tables(spark, sf_dir, *COLUMNS)))
 
 
+#: The tables beside the star schema.
+MORE = {
+    "events": [("event_id", "bigint", 1), ("ts", "timestamp_ntz", 0), ("user_id", "bigint", 1), ("event_type", "string", 0), ("props", "string", 0)],
+    "documents": [("doc_id", "bigint", 1), ("text", "string", 0), ("lang", "string", 0), ("source", "string", 0), ("n_chars", "bigint", 1)],
+    "embeddings": [("vec_id", "bigint", 1), ("label", "int", 1)],
+    "pages": [("page_id", "bigint", 1), ("url", "string", 0), ("html", "string", 0)],
+    "benchmark": [("item_id", "bigint", 1), ("text", "string", 0)],
+    "labels": [("doc_id", "bigint", 1), ("quality", "int", 1), ("toxic", "int", 1)],
+    "conversations": [("conv_id", "bigint", 1), ("turn", "bigint", 1), ("role", "string", 0), ("text", "string", 0)],
+}
+
+
+@query(
+    "profile_corpus",
+    " UNION ALL ".join(
+        column_sql(name, name, i, *c, len(columns)) for name, columns in MORE.items() for i, c in enumerate(columns)
+    ),
+)
+def profile_corpus(spark, sf_dir):
+    """The tables of texts, events and labels."""
+    return shown(profile.profile_tables({t: table(spark, sf_dir, t).select(*[c for c, _, _ in columns]) for t, columns in MORE.items()}))
+
+
+@query(
+    "profile_files",
+    " UNION ALL ".join(f"SELECT '{fmt}' AS format, table_name, name, row_count, null_count, distinct_count, samples FROM ({profile_sql('customer')})" for fmt in ("csv", "json", "parquet")),
+)
+def profile_files(spark, sf_dir):
+    """A folder of each format, read and profiled in one call."""
+    customer = table(spark, sf_dir, "customer")
+    found = None
+    for fmt in ("csv", "json", "parquet"):
+        path = f"{scratch(spark, fmt)}/customer.{fmt}"
+        if fmt == "parquet":
+            customer.write.parquet(path)
+        else:
+            sinks.write_result(customer, path, fmt)
+        one = profile.profile_path(spark, path, fmt, None if fmt == "parquet" else customer.schema).withColumn("format", F.lit(fmt))
+        found = one if found is None else found.unionByName(one)
+    return found.select("format", "table_name", "name", "row_count", "null_count", "distinct_count", F.array_join("sample_values", "|").alias("samples"))
+
+
 @query(
     "profile_approx",
     " UNION ALL ".join(

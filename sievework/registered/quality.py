@@ -10,8 +10,9 @@ from sievework.operators import checks, digests, keys, mapping, profile, recon,
 from sievework.operators.checks import Rule
 from sievework.plans import recommend, suite
 from sievework.registered.profiling import GAPPY_ORDERS, gappy_orders
-from sievework.registered.registry import query, table, tables
+from sievework.registered.registry import query, scratch_schema, table, tables
 from sievework.session import cut, scratch
+from sievework.sources import sinks
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -487,18 +488,50 @@ def dq_same_type(spark, sf_dir):
 )
 def dq_recommend_contacts(spark, sf_dir):
     """Patterns by column name, a gap in a column, relationships that come twice, and at most seven rules per table."""
+    _, rules = contact_rules(spark, sf_dir, max_rules=7)
+    return rules.select("table_name", "rule_type", "column_name", "priority", "rule_id")
+
+
+def contact_rules(spark, sf_dir, **options):
+    """Customers as contacts with their nations, and the rules recommended for them."""
     t = tables(spark, sf_dir, "customer", "nation")
     key = F.col("c_custkey")
     contact = t["customer"].select(
-        key.alias("contact_id"), F.concat(F.lit("c"), key.cast("string"), F.lit("@example.com")).alias("email"),
+        key.alias("contact_id"), F.concat(F.lit("c"), key.cast("string"), F.when(key % 7 != 3, F.lit("@example.com")).otherwise(F.lit(" at example"))).alias("email"),
         F.when(key % 10 != 0, F.concat(F.lit("+49 "), (key + 1_000_000).cast("string"))).alias("phone"), F.col("c_nationkey").alias("nation_id"),
     )
     nation = t["nation"].select(F.col("n_nationkey").alias("nation_id"), "n_name")
-    columns = cut(profile.profile_tables({"contact": contact, "nation": nation}, k=30))
+    named = {"contact": contact, "nation": nation}
+    columns = cut(profile.profile_tables(named, k=30))
     edges = keys.resolve(columns)
     flagged = keys.with_foreign_keys(keys.primary_keys(columns), edges)
-    rules = recommend.recommend(flagged.withColumn("is_business_key", F.lit(False)), edges.unionByName(edges), max_rules=7, enum_limit=30)
-    return rules.select("table_name", "rule_type", "column_name", "priority", "rule_id")
+    rules = recommend.recommend(flagged.withColumn("is_business_key", F.lit(False)), edges.unionByName(edges), enum_limit=30, **options)
+    return named, rules
+
+
+@query(
+    "dq_statements",
+    """
+    SELECT table_name, rule_type, column_name, CAST(CASE WHEN rule_type = 'COMPLETENESS' THEN (SELECT count(*) FROM customer WHERE c_custkey % 10 = 0)
+      WHEN column_name = 'email' THEN (SELECT count(*) FROM customer WHERE c_custkey % 7 = 3)
+      WHEN rule_type = 'REFERENTIAL' THEN (SELECT count(*) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey <> 4)) ELSE 0 END AS BIGINT) AS failures
+    FROM (VALUES ('contact', 'NOT_NULL', 'contact_id'), ('contact', 'UNIQUE', 'contact_id'), ('contact', 'NOT_NULL', 'nation_id'), ('contact', 'REFERENTIAL', 'nation_id'),
+      ('contact', 'ROW_COUNT', NULL), ('contact', 'COMPLETENESS', 'phone'), ('contact', 'REGEX_PATTERN', 'email'), ('contact', 'REGEX_PATTERN', 'phone'),
+      ('nation', 'NOT_NULL', 'nation_id'), ('nation', 'UNIQUE', 'nation_id'), ('nation', 'ROW_COUNT', NULL), ('nation', 'ENUM_CHECK', 'n_name')) t(table_name, rule_type, column_name)
+    """,
+)
+def dq_statements(spark, sf_dir):
+    """Recommended rules as SQL statements, run on tables that a nation has left since."""
+    named, rules = contact_rules(spark, sf_dir)
+    schema, _ = scratch_schema(spark)
+    for name, df in named.items():
+        sinks.full_refresh(df.filter("nation_id <> 4") if name == "nation" else df, f"{schema}.{name}")
+    found = None
+    for r in recommend.sql_text(rules, schema).collect():  # a few rules
+        failures = spark.sql(r["sql"]).toDF("failures").select(F.col("failures").cast("bigint").alias("failures"))
+        one = failures.select(F.lit(r["table_name"]).alias("table_name"), F.lit(r["rule_type"]).alias("rule_type"), F.lit(r["column_name"]).cast("string").alias("column_name"), "failures")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 @query(
