@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 from urllib.parse import unquote, urlparse
 
@@ -26,7 +29,7 @@ def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows_of(df, doc_id=df[id_col].cast("long"), text=df[text_col].cast("string"))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of about `limit` bytes of a text column, so long texts do not meet in memory."""
     sizes = np.diff(np.frombuffer(batch.column(column).cast(pa.large_binary()).buffers()[1], np.int64)[: len(batch) + 1 + batch.column(column).offset][batch.column(column).offset :]) if len(batch) else np.zeros(0)
     begin = total = 0
@@ -39,6 +42,27 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 16 << 20) -> Iterato
         yield batch.slice(begin)
 
 
+def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A task's function that, when the task ends, gives back what its worker has freed. Workers serve many stages,
+    and what each of them once needed would add up beside the executor's heap."""
+
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    """Return freed memory of Arrow and, where the C library can, of Python to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def local_folder(uri: str) -> str:
     """A shared folder as a path for open() and memory maps. Only mounted folders have one."""
     parsed = urlparse(uri)
@@ -162,6 +186,3 @@ def _same(x: DataFrame, y: DataFrame) -> bool:
     mark = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")]
     return x.agg(*mark).first() == y.agg(*mark).first()
 
-
-def empty_like(names: Iterable[str], schema: T.StructType) -> T.StructType:
-    return T.StructType([schema[n] for n in names])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.llm.common import Batches, documents_of, slices
+from sievework.llm.common import Batches, documents_of, frugal, slices
 from sievework.llm.encoding import byte_level
 
 WINDOW = 1024
@@ -173,4 +173,4 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         if found := list(rows(packer.close())):
             yield batch_of(found)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal(run), schema)

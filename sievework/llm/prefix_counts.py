@@ -30,7 +30,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import Batches, documents_of, slices
+from sievework.llm.common import Batches, documents_of, frugal, slices
 from sievework.llm.encoding import Pieces
 
 MARK = "▁"
@@ -186,7 +186,7 @@ def prefix_table(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                     ["doc_id", "n_bytes", "n_tokens", "steps"],
                 )
 
-    return documents_of(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return documents_of(docs, id_col, text_col).mapInArrow(frugal(run), SCHEMA)
 
 
 def totals(table: DataFrame, limit: int) -> DataFrame:

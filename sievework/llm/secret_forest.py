@@ -30,12 +30,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import Batches, rows_of, slices
-from sievework.session import scratch
+from sievework.llm.common import Batches, frugal, rows_of, slices
+from sievework.session import cut, scratch
 
 FINDINGS = 4_000
 TREES, DEPTH, SEED = 40, 10, 9
@@ -182,10 +182,9 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
                         y.append(float(secret))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64())], ["x", "label"])
 
-    points = [(Vectors.dense(r.x), r.label) for r in rows.mapInArrow(described, "x array<double>, label double").collect()]
-    if len({y for _, y in points}) < 2:
+    frame = cut(rows.mapInArrow(described, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label"))
+    if frame.select("label").distinct().count() < 2:
         return Forest([])
-    frame = spark.createDataFrame(points, ["features", "label"])
     fitted = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=2).fit(frame)
     return Forest(_trees(spark, fitted))
 
@@ -252,7 +251,7 @@ def findings(docs: DataFrame, forest: Forest, confirm: float = CONFIRM, id_col:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return source.mapInArrow(run, "doc_id long, start long, length long, kind string, value_sha256 string, score double, confirmed boolean")
+    return source.mapInArrow(frugal(run), "doc_id long, start long, length long, kind string, value_sha256 string, score double, confirmed boolean")
 
 
 def masked(text: str, spans: list[tuple[str, int, int, float]], confirm: float = CONFIRM, mask: str = MASK) -> str:
@@ -281,4 +280,4 @@ def redacted(docs: DataFrame, forest: Forest, confirm: float = CONFIRM, text_col
                     columns[length_col] = pa.array([o if a == b else len(b) for o, a, b in zip(old.to_pylist(), texts, new)], old.type)
                 yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import Batches, components, documents_of, slices
+from sievework.llm.common import Batches, components, documents_of, frugal, slices
 from sievework.session import cut
 
 BITS = 64
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
                     [part.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"]
                 )
 
-    return documents_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return documents_of(docs, id_col, text_col).mapInArrow(frugal(run), "doc_id long, fp long")
 
 
 def _signed(value: int) -> int:

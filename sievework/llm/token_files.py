@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import Batches, documents_of, slices, tasks
+from sievework.llm.common import Batches, documents_of, frugal, slices, tasks
 from sievework.llm.encoding import byte_level
 
 READ_DOCS = 20_000
@@ -85,7 +85,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, pa
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
         .withColumn("part", F.spark_partition_id())
     )
-    written = sorted(tuple(r) for r in ranged.mapInArrow(encode, "part long, documents long, tokens long").collect())
+    written = sorted(tuple(r) for r in ranged.mapInArrow(frugal(encode), "part long, documents long, tokens long").collect())
     starts = accumulate((t for _, _, t in written), initial=0)
 
     def rebase(batches: Batches) -> Batches:

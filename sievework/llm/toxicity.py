@@ -26,21 +26,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import rows_of
+from sievework.llm.common import rows_of, slices
 from sievework.session import cut
 
 SAMPLE = 20_000
-LEXICON = 2_000
 STEMS = (4, 5, 6, 7)
-LEAST_WEIGHT, ERRORS = 0.25, 2.5
+LEAST_WEIGHT, ERRORS, LEAST_TEXTS = 0.25, 2.5, 3
 COPY_KEYS = 4
 THRESHOLD = 0.3
 SCOPE, REACH = 3, 4
+#: Words whose weights a task remembers.
+KNOWN = 100_000
 
 NEGATIONS = frozenset("not no never neither nor isn't aren't wasn't don't doesn't nicht kein keine nie niemals ne pas jamais aucun nunca tampoco".split())
 TARGETS = frozenset("you your yours yourself he she they them him du dich dein deine ihr euch tu toi vous votre tú usted ustedes".split())
@@ -114,7 +116,7 @@ class Scorer:
         """The greatest weight among the word and its stems; 0 if it is on no path."""
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > KNOWN:
                 self.known.clear()
             look = self.lexicon.get
             found = self.known[word] = max(look("=" + word, 0.0), *(look(word[:n], 0.0) for n in STEMS if len(word) >= n), 0.0)
@@ -171,9 +173,10 @@ class Scorer:
 def score(text: Column, scorer: Scorer) -> Column:
     """The score of a text column."""
 
-    @F.pandas_udf("double")
-    def scores(texts: pd.Series) -> pd.Series:
-        return pd.Series(scorer.scores(texts.fillna("").tolist()), dtype="float64")
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts.fill_null("")], ["text"])
+        return pa.array(np.concatenate([np.zeros(0), *[scorer.scores(part.column(0).to_pylist()) for part in slices(batch, "text")]]), pa.float64())
 
     return scores(text.cast("string"))
 
@@ -210,8 +213,8 @@ def _least_hash(seed: int) -> Column:
     return F.array_min(F.transform("pairs", lambda h: F.xxhash64(h, F.lit(seed))))
 
 
-def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
-    """Weights of word forms ('=word') and stems, the `size` that tell most. Counts stay in Spark."""
+def learn_lexicon(rows: DataFrame) -> dict[str, float]:
+    """Weights of word forms ('=word') and stems of at least LEAST_WEIGHT, met in LEAST_TEXTS toxic rows or more. Counts stay in Spark."""
     counts = {bool(r["toxic"]): r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = counts.get(True, 0), counts.get(False, 0)
     if not toxic or not clean:
@@ -221,18 +224,18 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
     forms = F.transform("words", lambda w: F.concat(F.lit("="), w))
     entries = rows.select("toxic", words.alias("words")).select("toxic", F.explode(F.array_distinct(F.concat(forms, *stems))).alias("entry"))
     n_toxic, n_clean = F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1))
-    seen = entries.groupBy("entry").agg(n_toxic.alias("t"), n_clean.alias("c")).where(F.col("t") >= max(3, toxic // 100))
+    seen = entries.groupBy("entry").agg(n_toxic.alias("t"), n_clean.alias("c")).where(F.col("t") >= LEAST_TEXTS)
     # The lower end of what the counts allow, so rare words that met toxic texts by chance weigh nothing.
     ratio = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
     weight = ratio - ERRORS * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    best = seen.withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT).orderBy((F.col("w") * F.col("t")).desc(), "entry").limit(size)
-    return {r["entry"]: r["w"] for r in best.select("entry", "w").collect()}
+    kept = seen.withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT)
+    return {r["entry"]: r["w"] for r in kept.select("entry", "w").collect()}
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = LEXICON) -> Scorer:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     """A scorer from the labelled rows that are not held out."""
     rows = cut(labelled(docs, labels, sample))
-    lexicon = learn_lexicon(rows.where("half"), size)
+    lexicon = learn_lexicon(rows.where("half"))
     share = rows.agg(F.avg("toxic")).first()[0] or 0.0
     scorer = Scorer(lexicon)
 

@@ -156,24 +156,52 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, segment_bytes: in
     return sorted(r.path for r in marked.mapInArrow(run, "path string").collect())
 
 
+CUT = "cut"
+
+
 def records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields by lower-case name, block) of each record; ends at a record that is cut short."""
-    while version := stream.readline():
+    """(fields by lower-case name, block) of each record. One that is cut short, with the archive or its compressed
+    end, comes last, with what there is of it and a field CUT: the bytes its block should have, -1 if not even that is known."""
+    while version := _line(stream):
         if not version.strip():
             continue
-        if not version.startswith(b"WARC/"):
+        if not version.startswith(b"WARC/") and not b"WARC/".startswith(version):
             raise ValueError(f"no WARC record begins with {version[:40]!r}")
         fields: dict[str, str] = {}
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode().partition(":")
+        while (line := _line(stream)).strip():
+            name, _, value = line.decode(errors="replace").partition(":")
             fields[name.strip().lower()] = value.strip()
-        size = int(fields.get("content-length", 0))
-        block = stream.read(size)
-        if len(block) < size:
+        size = int(fields.get("content-length", 0)) if line else 0
+        block = _upto(stream, size)
+        if not line or len(block) < size:
+            yield fields | {CUT: str(size if line else -1)}, block
             return
         yield fields, block
 
 
+def _line(stream: BinaryIO) -> bytes:
+    """The next line; nothing at the end, also where a compressed stream breaks off."""
+    try:
+        return stream.readline()
+    except EOFError:
+        return b""
+
+
+def _upto(stream: BinaryIO, size: int) -> bytes:
+    """As many bytes as there are, size at most."""
+    parts, left = [], size
+    while left:
+        try:
+            part = stream.read1(min(left, 1 << 16)) if hasattr(stream, "read1") else stream.read(min(left, 1 << 16))
+        except EOFError:
+            break
+        if not part:
+            break
+        parts.append(part)
+        left -= len(part)
+    return b"".join(parts)
+
+
 def _bare(value: str | None) -> str | None:
     return value.strip("<>").removeprefix("urn:uuid:") if value else None
 
@@ -198,7 +226,7 @@ def read_records(spark: SparkSession, paths: list[str], batch_bytes: int = 16 <<
                     for fields, block in records(stream):
                         rows.append((
                             _bare(fields.get("warc-segment-origin-id") or fields.get("warc-record-id")),
-                            _number(fields.get("warc-segment-number")), _number(fields.get("warc-segment-total-length")),
+                            _number(fields.get("warc-segment-number")), _number(fields.get("warc-segment-total-length") or fields.get(CUT)),
                             fields.get("warc-type"), _number(fields.get("page-id")),
                             (fields.get("warc-payload-digest") or "").removeprefix("sha1:") or None,
                             _number(fields.get("refers-to-page-id")), block,
@@ -226,7 +254,7 @@ def payload_of(block: bytes) -> tuple[int, bytes, bool]:
 
 def reassemble(found: DataFrame) -> DataFrame:
     """A row per page from the rows of read_records. Only segments are shuffled, a group per origin."""
-    whole = found.where("number is null").select("kind", "page_id", "digest", "refers_to", F.array(F.struct(F.lit(1).alias("number"), "block")).alias("parts"), F.octet_length("block").cast("long").alias("total"))
+    whole = found.where("number is null").select("kind", "page_id", "digest", "refers_to", F.array(F.struct(F.lit(1).alias("number"), "block")).alias("parts"), F.coalesce("total", F.octet_length("block").cast("long")).alias("total"))
     joined = (
         found.where("number is not null").groupBy("origin")
         .agg(

@@ -3,6 +3,8 @@
 import gzip
 import io
 
+import pytest
+
 from sievework.llm import warc
 from sievework.llm.common import shared_folder
 
@@ -62,8 +64,26 @@ def test_framing():
     assert warc.unchunked(b"zz\r\n") == (b"", False)
 
 
-def test_a_record_cut_short_ends_the_archive():
+def test_a_record_cut_short():
     data = warc.record("response", "1", b"abc") + warc.record("response", "2", b"defg")
-    assert [b for _, b in warc.records(io.BytesIO(data))] == [b"abc", b"defg"]
-    assert [b for _, b in warc.records(io.BytesIO(data[:-6]))] == [b"abc"]
-    assert gzip.decompress(gzip.compress(data)) == data
+    assert [(b, f.get(warc.CUT)) for f, b in warc.records(io.BytesIO(data))] == [(b"abc", None), (b"defg", None)]
+    assert [(b, f.get(warc.CUT)) for f, b in warc.records(io.BytesIO(data[:-6]))] == [(b"abc", None), (b"de", "4")]
+    for size in range(len(data)):
+        found = list(warc.records(io.BytesIO(data[:size])))
+        assert all(warc.CUT not in f for f, _ in found[:-1]) and len(found) <= 2
+    packed = gzip.compress(data)
+    with gzip.open(io.BytesIO(packed[:-20])) as stream:
+        assert [b for _, b in warc.records(stream)][:1] == [b"abc"]
+
+
+@pytest.mark.parametrize("less", [1, 9, 40, 200])
+def test_an_archive_cut_short_gives_incomplete_rows(spark, tmp_path, less):
+    """The last record stays a row, and is not complete."""
+    pages = spark.createDataFrame([(i, f"u{i}", "<html>" + "x" * 300 + str(i)) for i in range(5)], "page_id long, url string, html string").coalesce(1)
+    (path,) = warc.write(pages, str(tmp_path), least_bytes=0)
+    raw = gzip.open(path).read()
+    short = raw.rstrip(b"\r\n")[:-less]
+    with gzip.open(path, "wb") as f:
+        f.write(short)
+    rows = warc.reassemble(warc.read_records(spark, [path])).collect()
+    assert len(rows) == 5 and sorted(r.complete for r in rows) == [False, True, True, True, True]
