@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,19 +78,24 @@ def stored_schema(spark: SparkSession, spec: IngestSpec) -> T.StructType:
 
     Later runs use the kept schema, so a new file cannot change column types between runs.
     """
-    kept = spark.read.text(spec.schema_path).first() if _exists(spark, spec.schema_path) else None
+    kept = _kept(spark, spec.schema_path)
     if kept is not None and spec.schema is None:
-        return T.StructType.fromJson(json.loads(kept[0]))
+        return T.StructType.fromJson(json.loads(kept))
     schema = spec.schema or files.read(spark, spec.path, spec.source_format, **spec.options).schema
     if kept is None:
         spark.createDataFrame([(schema.json(),)], "value STRING").coalesce(1).write.mode("overwrite").text(spec.schema_path)
     return schema
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+def _kept(spark: SparkSession, path: str) -> str | None:
+    """The line kept at a path, None where nothing is."""
+    try:
+        row = spark.read.text(path).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return row and row[0]
 
 
 def _with_provenance(df: DataFrame, spec: IngestSpec) -> DataFrame:

@@ -377,7 +377,7 @@ def profiled_with_keys(spark, sf_dir) -> tuple[DataFrame, DataFrame, dict[str, D
             {"o_orderkey": "order_id", "o_custkey": "customer_id", "o_orderdate": "created_at"}
         ),
     }
-    columns = profile.profile_tables(named, k=ENUM_LIMIT)
+    columns = cut(profile.profile_tables(named, k=ENUM_LIMIT))  # a few rows, used several times
     edges = keys.resolve(columns)
     flagged = keys.with_foreign_keys(keys.primary_keys(columns), edges)
     return flagged.withColumn("is_business_key", F.col("is_primary_key")), edges, named

@@ -45,8 +45,7 @@ def scratch_schema(spark: SparkSession) -> tuple[str, str]:
 
 def stream_place(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, dict[str, str]]:
     """Folder and options that stream one table, be it a single file or a folder of files."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.getFileStatus(path).isDirectory():
-        return f"{sf_dir}/{name}.parquet", {}
-    return sf_dir, {"pathGlobFilter": f"{name}.parquet"}
+    place = f"{sf_dir}/{name}.parquet"
+    if all(f.rstrip("/").endswith(f"/{name}.parquet") for f in spark.read.parquet(place).inputFiles()):
+        return sf_dir, {"pathGlobFilter": f"{name}.parquet"}
+    return place, {}

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -32,10 +33,10 @@ def steps(spark: SparkSession, log: str) -> DataFrame:
     """The evolution steps so far: step, batch_id, added (name, type)."""
     try:
         return spark.read.schema(STEP).json(f"{log}/step=*")
-    except Exception as e:  # the folder comes with the first step
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], STEP)
-        raise
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # the folder comes with the first step
+            raise
+        return spark.createDataFrame([], STEP)
 
 
 def columns(spark: SparkSession, log: str) -> dict[str, str]:
