@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,3 +120,20 @@ def shard(df: DataFrame, dimensions: list[str], shards: int, law: str = "bytes",
         F.col("_id").alias(id_col), "size", *[F.col(f"_c_{k}").alias(k) for k in carry], "cell", "shard",
         (F.col("_rank") - begin).cast("long").alias("slot"),
     )
+
+
+def write(df: DataFrame, dimensions: list[str], shards: int, folder: str, law: str = "bytes", bits: int = 4, id_col: str = "doc_id", size: Column | None = None) -> None:
+    """The rows of df as parquet, a folder `_shard=k` for each shard, in curve order (column _slot).
+
+    The rows are shuffled once, whole, into the ranges that the shards are cut from, and written from there. A
+    reader that filters on a dimension skips the files, and the row groups, whose min/max lie outside.
+    """
+    placed = shard(df, dimensions, shards, law, bits, id_col, size, carry={"row": F.struct(*[df[c] for c in df.columns])})
+    rows = placed.select(F.col("shard").alias("_shard"), F.col("slot").alias("_slot"), "row.*")
+    rows.sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(folder)
+
+
+def extents(spark: SparkSession, folder: str, dimensions: list[str]) -> DataFrame:
+    """_shard, rows, and <dimension>_min and _max: what the shards written there can be skipped by."""
+    ends = [f(d).alias(f"{d}_{name}") for d in dimensions for name, f in (("min", F.min), ("max", F.max))]
+    return spark.read.parquet(folder).groupBy("_shard").agg(F.count(F.lit(1)).alias("rows"), *ends)

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -205,3 +206,37 @@ def test_counts_of_the_query(spark, sf_dir):
         else:
             assert r.kept_chars == len(text)
     assert not texts
+
+
+@pytest.mark.parametrize("law", ["bytes", "rows"])
+def test_written_shards_prune_on_each_dimension(spark, tmp_path, law):
+    """A box on two dimensions meets few of the shards by their min/max, and few of the files by their footers."""
+    rng = np.random.default_rng(5)
+    rows = [(i, int(x), float(y), "s", 1) for i, (x, y) in enumerate(rng.integers(0, 10_000, (6_000, 2)))]
+    docs = spark.createDataFrame(rows, "doc_id long, x long, y double, shard string, slot int").repartition(5)
+    folder = str(tmp_path / law)
+    hilbert.write(docs, ["x", "y"], 32, folder, law)
+    stored = spark.read.parquet(folder)
+    assert sorted(map(tuple, stored.select(*docs.columns).collect())) == rows
+    ends = hilbert.extents(spark, folder, ["x", "y"]).collect()
+    assert sum(e.rows for e in ends) == 6_000 and len(ends) == 32
+    slots = sorted((r["_shard"], r["_slot"]) for r in stored.select("_shard", "_slot").collect())
+    assert [s for k in range(32) for s in [x for shard, x in slots if shard == k]] == [s for e in sorted(ends, key=lambda e: e["_shard"]) for s in range(e.rows)]
+    for a, b in ((1_000, 6_000), (8_500, 200), (4_900, 4_900)):
+        met = [e for e in ends if e.x_max >= a and e.x_min <= a + 800 and e.y_max >= b and e.y_min <= b + 800]
+        assert 1 <= len(met) <= 10
+        files = skipped = 0
+        for f in (tmp_path / law).glob("*/*.parquet"):
+            meta = pq.ParquetFile(f).metadata
+            at = {meta.schema.column(i).name: i for i in range(meta.num_columns)}
+            x, y = (meta.row_group(0).column(at[c]).statistics for c in "xy")
+            files += 1
+            skipped += x.max < a or x.min > a + 800 or y.max < b or y.min > b + 800
+        assert skipped >= files / 2
+        box = stored.where(f"x between {a} and {a + 800} and y between {b} and {b + 800}")
+        assert box.count() == sum(a <= r[1] <= a + 800 and b <= r[2] <= b + 800 for r in rows)
+
+
+def test_written_shards_of_an_empty_table(spark, tmp_path):
+    hilbert.write(table(spark).limit(0), ["lang", "n_chars"], 4, str(tmp_path / "none"))
+    assert spark.read.schema("doc_id long").parquet(str(tmp_path / "none")).count() == 0
