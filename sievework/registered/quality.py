@@ -748,6 +748,28 @@ def mapping_rejects(spark, sf_dir):
     return mapping.rejects(t["customer"], MAPPING, other=t["nation"])
 
 
+@query(
+    "recon_faults",
+    """
+    WITH c AS (SELECT c_custkey % 11 = 3 AS gone, c_custkey % 9 = 2 AS changed FROM customer WHERE c_acctbal > 0)
+    SELECT 'functional' AS test, CAST(sum(CASE WHEN gone THEN 1 WHEN changed THEN 2 ELSE 0 END) AS BIGINT) AS differing_rows FROM c
+    UNION ALL SELECT 'idempotency', count(*) FROM (SELECT DISTINCT c_custkey FROM customer)
+    """,
+)
+def recon_faults(spark, sf_dir):
+    """The functional test on a target with changed and missing rows, and a hub whose second load does not look at the first."""
+    t = tables(spark, sf_dir, "customer", "nation")
+    mapped = cut(mapping.apply(t["customer"], MAPPING, "2024-01-01", "crm.customer", other=t["nation"]))
+    faulty = mapped.filter("customer_id % 11 <> 3").withColumn("balance", F.when(F.col("customer_id") % 9 == 2, F.col("balance") + 1).otherwise(F.col("balance")))
+    source = vault.Source(t["customer"], ["c_custkey"], "crm.customer", "2024-01-01")
+    once = cut(vault.hub("customer", [source], ["c_custkey"], with_ghost=False))
+    found = None
+    for name, first, second in (("functional", mapped, faulty), ("idempotency", once, once.unionByName(once))):
+        one = recon.row_difference(first, second).agg(F.count("*").alias("differing_rows")).select(F.lit(name).alias("test"), "differing_rows")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 @query("recon_functional", "SELECT count(*) AS target_rows, CAST(0 AS BIGINT) AS differing_rows FROM customer WHERE c_acctbal > 0")
 def recon_functional(spark, sf_dir):
     """The mapped rows agree with a target that was built another way."""

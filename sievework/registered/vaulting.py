@@ -484,6 +484,34 @@ def vault_coverage(spark, sf_dir):
     )
 
 
+@query(
+    "vault_faults",
+    """
+    SELECT 'rows the satellite lacks' AS fault, count(*) AS n, 'c_acctbal' AS named FROM customer WHERE c_custkey % 8 = 1
+    UNION ALL SELECT 'columns the satellite lacks', (SELECT count(*) FROM customer), 'hash_diff,load_end_date'
+    UNION ALL SELECT 'source columns without a place', (SELECT count(*) FROM customer), 'c_name,c_acctbal'
+    """,
+)
+def vault_faults(spark, sf_dir):
+    """Coverage and mandatory columns on a vault that has lost rows and columns."""
+    customer = table(spark, sf_dir, "customer")
+    vaults = silver(spark, sf_dir)
+    hub_df, sat = vaults["HUB_CUSTOMER"], vaults["SAT_CUSTOMER_DETAILS"]
+    keyed = sat.join(hub_df.select("customer_hk", "c_custkey"), "customer_hk").select("c_custkey", "c_name")
+    lost = recon.row_difference(customer.select("c_custkey", "c_name"), keyed.filter("c_custkey % 8 <> 1")).filter("copies > 0").agg(F.count("*").alias("n"))
+    rows = customer.agg(F.count("*").alias("n"))
+
+    def found(fault: str, n: DataFrame, named: list[str]) -> DataFrame:
+        return n.select(F.lit(fault).alias("fault"), "n", F.lit(",".join(named)).alias("named"))
+
+    bare = sat.drop("hash_diff", "load_end_date")
+    return (
+        found("rows the satellite lacks", lost, vault.uncovered_columns(customer.schema, [hub_df, sat]))
+        .unionByName(found("columns the satellite lacks", rows, sorted(vault.missing_columns(bare, "satellite", "customer", []))))
+        .unionByName(found("source columns without a place", rows, vault.uncovered_columns(customer.schema, [hub_df, sat.drop("c_name")])))
+    )
+
+
 @query(
     "vault_as_of",
     f"""
