@@ -77,16 +77,20 @@ def _compressed(left: DataFrame, chains: DataFrame) -> DataFrame:
     )
 
 
-def _least_reaching(edges: DataFrame, here: str, there: str) -> DataFrame:
-    """(id, least): the smallest node from which each node is reached, itself included."""
-    ids = edges.select(F.col(here).alias("id")).union(edges.select(F.col(there).alias("id"))).distinct()
-    now = cut(ids.withColumn("least", F.col("id")))
+def _marked(left: DataFrame) -> DataFrame:
+    """(way, id, least): the smallest node that each node is reached from (way 'out') and that it reaches ('in'), itself included."""
+    steps = cut(
+        left.select(F.lit("out").alias("way"), F.col("from_id").alias("id"), F.col("to_id").alias("next"))
+        .unionByName(left.select(F.lit("in").alias("way"), F.col("to_id").alias("id"), F.col("from_id").alias("next")))
+    )
+    now = cut(steps.select("way", "id").union(steps.select("way", "next")).distinct().select("way", "id", F.col("id").alias("least")))
     while True:
-        sent = edges.join(now, edges[here] == now["id"]).select(F.col(there).alias("id"), "least")
-        then = cut(now.unionByName(sent).groupBy("id").agg(F.min("least").alias("least")))
-        if then.join(now, ["id", "least"], "left_anti").isEmpty():
-            return then
-        now = then
+        sent = steps.join(now, ["way", "id"]).select("way", F.col("next").alias("id"), "least", F.lit(None).cast(now.schema["least"].dataType).alias("own"))
+        both = now.withColumn("own", F.col("least")).unionByName(sent)
+        then = cut(both.groupBy("way", "id").agg(F.min("least").alias("least"), F.min("own").alias("own")))
+        if then.where("least <> own").isEmpty():
+            return now
+        now = then.drop("own")
 
 
 def cyclic_edges(edge_rows: DataFrame) -> DataFrame:
@@ -100,9 +104,11 @@ def cyclic_edges(edge_rows: DataFrame) -> DataFrame:
     reaches them, or that they reach, go, until none does; then every part that hangs together holds its own
     smallest node, which reaches all of it and is reached by all of it. No node pairs are built.
     """
-    left = cut(edge_rows.select("from_id", "to_id").distinct())
-    size = left.count()
-    # Where each edge of the input has got to, and the ones among those that are known to lie on a cycle.
+    left = cut(edge_rows.select("from_id", "to_id"))
+    left, size = _peeled(left, left.count())
+    left = cut(left.distinct()) if size else left
+    size = left.count() if size else 0
+    # Where each edge that was not peeled at once has got to, and the ones among those that are known to lie on a cycle.
     origin, found = left.select("from_id", "to_id", F.col("from_id").alias("a"), F.col("to_id").alias("b")), []
     while size:
         before = size
@@ -122,10 +128,10 @@ def cyclic_edges(edge_rows: DataFrame) -> DataFrame:
         if size == before:
             break
     while size:
-        for here, there in (("from_id", "to_id"), ("to_id", "from_id")):
-            mark = _least_reaching(left, here, there)
-            begin, end = mark.toDF("from_id", "_begin"), mark.toDF("to_id", "_end")
-            left = cut(left.join(begin, "from_id").join(end, "to_id").filter("_begin = _end").select("from_id", "to_id"))
+        marks = _marked(left)
+        end = lambda way, n: marks.where(F.col("way") == way).select(F.col("id").alias(f"{n}_id"), F.col("least").alias(f"{way}_{n}"))
+        joined = left.join(end("out", "from"), "from_id").join(end("in", "from"), "from_id").join(end("out", "to"), "to_id").join(end("in", "to"), "to_id")
+        left = cut(joined.filter("out_from = out_to AND in_from = in_to").select("from_id", "to_id"))
         before = size
         size = left.count()
         while True:
