@@ -21,17 +21,18 @@ PEEL = 3
 #: Hubs of the first batch of labels, and by how much a batch is larger than the one before.
 FIRST, GROWTH = 16, 8
 
-def _peeled(left: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """Some rounds of leaving out edges that start where nothing enters or end where nothing leaves."""
+def _peeled(left: DataFrame, size: int) -> tuple[DataFrame, int, bool]:
+    """Some rounds of leaving out edges that start where nothing enters or end where nothing leaves; their number
+    then, and whether none is left to leave out."""
     for _ in range(PEEL):
         sources = left.select(F.col("from_id").alias("to_id"))
         targets = left.select(F.col("to_id").alias("from_id"))
         left = cut(left.join(sources, "to_id", "left_semi").join(targets, "from_id", "left_semi"))
         rest = left.count()
         if rest == size:
-            break
+            return left, size, True
         size = rest
-    return left, size
+    return left, size, not size
 
 
 def _chains(left: DataFrame) -> DataFrame | None:
@@ -83,7 +84,7 @@ def _marked(left: DataFrame) -> DataFrame:
         left.select(F.lit("out").alias("way"), F.col("from_id").alias("id"), F.col("to_id").alias("next"))
         .unionByName(left.select(F.lit("in").alias("way"), F.col("to_id").alias("id"), F.col("from_id").alias("next")))
     )
-    now = cut(steps.select("way", "id").union(steps.select("way", "next")).distinct().select("way", "id", F.col("id").alias("least")))
+    now = steps.select("way", "id").union(steps.select("way", "next")).distinct().select("way", "id", F.col("id").alias("least"))
     while True:
         sent = steps.join(now, ["way", "id"]).select("way", F.col("next").alias("id"), "least", F.lit(None).cast(now.schema["least"].dataType).alias("own"))
         both = now.withColumn("own", F.col("least")).unionByName(sent)
@@ -105,14 +106,15 @@ def cyclic_edges(edge_rows: DataFrame) -> DataFrame:
     smallest node, which reaches all of it and is reached by all of it. No node pairs are built.
     """
     left = cut(edge_rows.select("from_id", "to_id"))
-    left, size = _peeled(left, left.count())
+    left, size, whole = _peeled(left, left.count())
     left = cut(left.distinct()) if size else left
     size = left.count() if size else 0
     # Where each edge that was not peeled at once has got to, and the ones among those that are known to lie on a cycle.
     origin, found = left.select("from_id", "to_id", F.col("from_id").alias("a"), F.col("to_id").alias("b")), []
     while size:
+        if not whole:
+            left, size, whole = _peeled(left, size)
         before = size
-        left, size = _peeled(left, size)
         chains = _chains(left) if size else None
         if chains is not None:
             made = cut(_compressed(left, chains))
@@ -120,27 +122,24 @@ def cyclic_edges(edge_rows: DataFrame) -> DataFrame:
             moved = origin.join(made.toDF("a", "b", "_a", "_b"), ["a", "b"], "left")
             origin = cut(moved.select("from_id", "to_id", F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
             left = cut(made.select(F.col("from_new").alias("from_id"), F.col("to_new").alias("to_id")).distinct())
-        loops = cut(left.where("from_id = to_id"))
-        if not loops.isEmpty():
-            found.append(loops)
+        size, loops = left.agg(F.count_if(F.col("from_id") != F.col("to_id")), F.count_if(F.col("from_id") == F.col("to_id"))).first()
+        if loops:
+            found.append(left.where("from_id = to_id"))
             left = cut(left.where("from_id <> to_id"))
-        size = left.count()
-        if size == before:
+        if whole and size == before and not loops:
             break
+        whole = whole and size == before and not loops
     while size:
         marks = _marked(left)
         end = lambda way, n: marks.where(F.col("way") == way).select(F.col("id").alias(f"{n}_id"), F.col("least").alias(f"{way}_{n}"))
         joined = left.join(end("out", "from"), "from_id").join(end("in", "from"), "from_id").join(end("out", "to"), "to_id").join(end("in", "to"), "to_id")
         left = cut(joined.filter("out_from = out_to AND in_from = in_to").select("from_id", "to_id"))
-        before = size
-        size = left.count()
-        while True:
-            rest = size
-            left, size = _peeled(left, size)
-            if size == rest:
-                break
+        before, size = size, left.count()
         if size == before:
             break
+        whole = False
+        while not whole:
+            left, size, whole = _peeled(left, size)
     if size:
         found.append(left)
     if not found:

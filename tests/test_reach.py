@@ -63,6 +63,8 @@ def test_a_long_chain_with_a_loop_at_its_end(spark, monkeypatch):
 def test_trees_and_empty_tables(spark):
     tree = [(f"t{i}", f"t{i // 2}") for i in range(1, 200)] + [(f"h{i}", f"h{i + 1}") for i in range(60)]
     tree = [e for e in tree if e[0] != e[1]]
+    # wide layers, so that nothing is a chain, with the smallest ids at both ends
+    tree += [(f"{'a' if k == 0 else 'z'}{k}_{i}", f"{'a' if k == 10 else 'z'}{k + 1}_{j}") for k in range(11) for i in range(3) for j in range(3)]
     start = time.time()
     assert reach.cyclic_edges(frame(spark, tree)).collect() == [] and time.time() - start < 60
     assert reach.cyclic_edges(frame(spark, [])).collect() == []
