@@ -54,7 +54,9 @@ def line_hashes(docs: DataFrame, least_chars: int = LEAST_CHARS, id_col: str = "
     text = _known(docs[text_col])
     plain = F.octet_length(text) == F.char_length(text)
     lowered = F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    lines = docs.select(_doc(docs[id_col]).alias("doc"), F.xxhash64(text).alias("mark"), F.posexplode(F.split(lowered, "\n")).alias("pos", "line"))
+    # The fingerprint is taken before the lines come apart, else it would be taken of the whole text for each of them.
+    marked = docs.select(_doc(docs[id_col]).alias("doc"), F.xxhash64(text).alias("mark"), F.split(lowered, "\n").alias("lines"))
+    lines = marked.select("doc", "mark", F.posexplode("lines").alias("pos", "line"))
     keys = lines.select("doc", "mark", "pos", F.btrim(F.col("line"), F.lit(BLANKS)).alias("key")).where(F.char_length("key") >= least_chars)
     return keys.select(F.xxhash64("key").alias("high"), F.xxhash64(F.lit(1), "key").alias("low"), "doc", "mark", "pos")
 
