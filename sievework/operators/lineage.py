@@ -7,21 +7,26 @@ from pyspark.sql import functions as F
 
 from sievework.functions.text import snake_id
 from sievework.operators.reach import cyclic_edges  # noqa: F401
-from sievework.session import cut
+from sievework.session import cut, parts
 
 LAYERS = ["source", "bronze", "silver", "gold", "serving"]
 
 
 def edges(mappings: DataFrame) -> DataFrame:
-    """Distinct directed edges from mapping rows (source, target, rule)."""
+    """Distinct directed edges from mapping rows (source, target, rule).
+
+    Ids follow from the labels, so rows are told apart by source, target and rule alone and ids are made
+    afterwards. The partitions follow the number of rows: what one task holds does not grow with the table.
+    """
     rule = F.coalesce(F.nullif(F.trim("rule"), F.lit("")), F.lit("passthrough"))
-    return mappings.select(
+    rows = mappings.select("source", "target", F.when(F.lower(rule) == "unknown", "passthrough").otherwise(rule).alias("transformation"))
+    return rows.repartition(parts(mappings.count()), "source", "target", "transformation").distinct().select(
         snake_id(F.col("source")).alias("from_id"),
         snake_id(F.col("target")).alias("to_id"),
-        F.when(F.lower(rule) == "unknown", "passthrough").otherwise(rule).alias("transformation"),
+        "transformation",
         F.col("source").alias("from_label"),
         F.col("target").alias("to_label"),
-    ).distinct()
+    )
 
 
 def nodes(edge_rows: DataFrame) -> DataFrame:
@@ -34,7 +39,8 @@ def nodes(edge_rows: DataFrame) -> DataFrame:
             )
         ).alias("n")
     ).select("n.*")
-    found = ends.groupBy("id").agg(F.min("label").alias("label"))
+    # Labels are told apart first: an extreme of texts is found by sorting, and that is left with few rows.
+    found = ends.distinct().groupBy("id").agg(F.min("label").alias("label"))
     return found.withColumn("layer", layer(F.col("id")))
 
 

@@ -17,7 +17,7 @@ def supply_chain(spark, sf_dir) -> DataFrame:
     def named(label: str, c: str):
         return F.concat(F.lit(f"{label} "), F.col(c).cast("string"))
 
-    supplied = t["lineitem"].select("l_partkey", "l_suppkey").distinct().select(
+    supplied = t["lineitem"].select(
         named("Part", "l_partkey").alias("source"), named("Supplier", "l_suppkey").alias("target"),
         F.lit("supplied by").alias("rule"),
     )

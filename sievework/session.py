@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -60,3 +61,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that one task groups or sorts at a time where the session's number of partitions would give it more the more there are.
+TASK_ROWS = 500_000
+
+
+def parts(rows: int) -> int:
+    """Partitions for so many rows: what one task holds stays the same, whatever the table and the session's number."""
+    return max(1, math.ceil(rows / TASK_ROWS))
