@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.session import written
+from sievework.session import parts, written
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -25,9 +25,11 @@ def _peeled(left: DataFrame, size: int) -> tuple[DataFrame, int, bool]:
     """Some rounds of leaving out edges that start where nothing enters or end where nothing leaves; their number
     then, and whether none is left to leave out."""
     for _ in range(PEEL):
-        sources = left.select(F.col("from_id").alias("to_id"))
-        targets = left.select(F.col("to_id").alias("from_id"))
-        left = cut(left.join(sources, "to_id", "left_semi").join(targets, "from_id", "left_semi"))
+        # Each end is held once, in partitions that follow the number of edges; the edges pass by and are not sorted.
+        n = parts(size)
+        sources = left.select(F.col("from_id").alias("to_id")).distinct().repartition(n, "to_id").hint("shuffle_hash")
+        targets = left.select(F.col("to_id").alias("from_id")).distinct().repartition(n, "from_id").hint("shuffle_hash")
+        left = cut(left.repartition(n, "to_id").join(sources, "to_id", "left_semi").repartition(n, "from_id").join(targets, "from_id", "left_semi"))
         rest = left.count()
         if rest == size:
             return left, size, True
@@ -171,36 +173,57 @@ def label_index(edge_rows: DataFrame) -> DataFrame:
     breadth-first both ways at once; a node that earlier hubs already connect with the hub as shortly is
     neither labelled nor passed. Whatever way is shortest between two nodes, its first-taken node is in the
     labels of both ends. The number of batches is the logarithm of the number of nodes.
+
+    An earlier hub is connected with every node by the labels there are, so a search never passes one: each
+    edge is left out once the first of its ends had its batch, and no labels are compared for it. Only for
+    nodes that are no hubs yet the labels of the batch's own hubs are held against theirs.
     """
-    steps = cut(
-        edge_rows.select(F.lit("out").alias("way"), F.col("from_id").alias("node"), F.col("to_id").alias("next"))
-        .unionByName(edge_rows.select(F.lit("in").alias("way"), F.col("to_id").alias("node"), F.col("from_id").alias("next")))
-        .where("node <> next").distinct()
+    rows = cut(edge_rows.select("from_id", "to_id"))
+    n = parts(rows.count())
+    pairs = cut(rows.where("from_id <> to_id").repartition(n, "from_id", "to_id").distinct())
+    ways = pairs.select(F.lit("out").alias("way"), F.col("from_id").alias("node"), F.col("to_id").alias("next")).unionByName(
+        pairs.select(F.lit("in").alias("way"), F.col("to_id").alias("node"), F.col("from_id").alias("next"))
     )
-    alone = edge_rows.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
-    ranked = _batches(steps)
-    hubs = cut(alone.join(ranked, "id", "left").select("id", F.coalesce("batch", F.lit(0)).alias("batch")))
-    labels = None
+    alone = rows.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    hubs = cut(alone.join(_batches(ways), "id", "left").select("id", F.coalesce("batch", F.lit(0)).alias("batch")))
+    turn = lambda end: hubs.select(F.col("id").alias(end), F.col("batch").alias(f"{end}_batch"))
+    until = cut(pairs.join(turn("from_id"), "from_id").join(turn("to_id"), "to_id").select("from_id", "to_id", F.least("from_id_batch", "to_id_batch").alias("batch")))
+    steps = until.select(F.lit("out").alias("way"), F.col("from_id").alias("node"), F.col("to_id").alias("next"), "batch").unionByName(
+        until.select(F.lit("in").alias("way"), F.col("to_id").alias("node"), F.col("from_id").alias("next"), "batch")
+    )
+    # Until which batch a node has steps: a search goes on from those only that have some left.
+    going = cut(steps.groupBy("way", "node").agg(F.max("batch").alias("batch")))
+    last, labels = until.agg(F.max("batch")).first()[0], None
     for batch in range((hubs.agg(F.max("batch")).first()[0] or 0) + 1):
         start = hubs.where(F.col("batch") == batch)
         frontier = cut(start.select(F.explode(F.array(F.lit("out"), F.lit("in"))).alias("way"), F.col("id").alias("hub"), F.col("id").alias("node")))
-        seen, distance = frontier.withColumn("distance", F.lit(0)), 0
-        while True:
+        seen, distance, back = frontier.withColumn("distance", F.lit(0)), 0, None
+        left = steps.where(F.col("batch") >= batch).drop("batch")
+        more = going.where(F.col("batch") >= batch).select("way", "node").hint("shuffle_hash")
+        if labels is not None and batch <= last:
+            back = cut(
+                labels.join(start.select(F.col("id").alias("node")), "node", "left_semi").select(
+                    F.when(F.col("way") == "in", "out").otherwise("in").alias("way"), F.col("node").alias("hub"), F.col("hub").alias("over"), F.col("distance").alias("d1")
+                )
+            )
+        while last is not None and batch <= last:
             distance += 1
-            met = frontier.join(steps, ["way", "node"]).select("way", "hub", F.col("next").alias("node")).distinct()
+            met = frontier.join(left, ["way", "node"]).select("way", "hub", F.col("next").alias("node")).distinct()
             met = met.join(seen.select("way", "hub", "node"), ["way", "hub", "node"], "left_anti")
-            if labels is not None:
+            if back is not None:
                 met = cut(met)
-                back = labels.select(F.when(F.col("way") == "in", "out").otherwise("in").alias("way"), F.col("node").alias("hub"), F.col("hub").alias("over"), F.col("distance").alias("d1"))
                 on = labels.select("way", "node", F.col("hub").alias("over"), F.col("distance").alias("d2"))
                 known = met.join(back, ["way", "hub"]).join(on, ["way", "node", "over"]).where(F.col("d1") + F.col("d2") <= distance).select("way", "hub", "node")
                 met = met.join(known, ["way", "hub", "node"], "left_anti")
-            frontier = cut(met)
+            met = cut(met)
+            if met.isEmpty():
+                break
+            seen = seen.unionByName(met.withColumn("distance", F.lit(distance)))
+            frontier = cut(met.join(more, ["way", "node"], "left_semi"))
             if frontier.isEmpty():
                 break
-            seen = seen.unionByName(frontier.withColumn("distance", F.lit(distance)))
-        fresh = seen.select("way", "node", "hub", "distance")
-        labels = cut(fresh if labels is None else labels.unionByName(fresh))
+        fresh = cut(seen.select("way", "node", "hub", "distance"))
+        labels = fresh if labels is None else labels.unionByName(fresh)
     return labels
 
 
@@ -213,6 +236,7 @@ def distances(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     asked = pairs.select("from_id", "to_id").distinct()
     up = labels.where("way = 'in'").select(F.col("node").alias("from_id"), "hub", F.col("distance").alias("d1"))
     down = labels.where("way = 'out'").select(F.col("node").alias("to_id"), "hub", F.col("distance").alias("d2"))
+    down = down.join(asked.select("to_id").distinct(), "to_id", "left_semi")  # what no pair asks for is not sent around
     found = asked.join(up, "from_id").join(down, ["to_id", "hub"]).groupBy("from_id", "to_id").agg(F.min(F.col("d1") + F.col("d2")).alias("distance"))
     return pairs.join(found, ["from_id", "to_id"], "left")
 
