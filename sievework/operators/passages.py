@@ -10,6 +10,10 @@ the outcome is the same: where fewer than k passages score, the first of the oth
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,20 +22,56 @@ from sievework.session import written
 
 GRAM = 3
 BLOCK_BITS = 14
+#: Characters whose trigrams a task sorts at a time.
+PIECE = 1 << 21
 #: Stands after the end of a passage.
 END = "\0"
 
 
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, block, passages) of (passage, text) rows, text being UTF-8: the lists of some passages at a time."""
+    for batch in batches:
+        rows = sorted((i, t.decode("utf-8", "replace")) for i, t in zip(batch["passage"].to_pylist(), batch["text"].to_pylist()) if t)
+        some, size = [], 0
+        for n, row in enumerate(rows, 1):
+            some.append(row)
+            size += len(row[1])
+            if size >= PIECE or n == len(rows):
+                yield _lists_of(some)
+                some, size = [], 0
+
+
+def _lists_of(rows: list[tuple[int, str]]) -> pa.RecordBatch:
+    """The lists of passages that ascend by number; none is empty."""
+    points = np.frombuffer("".join(t + END * (GRAM - 1) for _, t in rows).encode("utf-32-le"), "<u4").astype(np.int64)
+    sizes = np.array([len(t) for _, t in rows])
+    # A gram begins at every character of a passage, none at the ends that were put on.
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    at = np.arange(len(owner)) + owner * (GRAM - 1)
+    code = points[at] << 42 | points[at + 1] << 21 | points[at + 2]
+    grams, which = np.unique(code, return_inverse=True)
+    held = np.unique(which * len(rows) + owner)  # by gram, then passage
+    gram, passage = held // len(rows), np.array([i for i, _ in rows], np.int64)[held % len(rows)]
+    block = passage >> BLOCK_BITS
+    first = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])])
+    points = np.stack([grams >> 42, grams >> 21 & 0x1FFFFF, grams & 0x1FFFFF], 1).astype("<u4")
+    letters = points.tobytes().decode("utf-32-le")
+    names = pa.array([letters[i : i + GRAM] for i in range(0, len(letters), GRAM)])
+    lists = pa.ListArray.from_arrays(np.r_[first, len(held)].astype(np.int32), passage)
+    return pa.RecordBatch.from_arrays([names.take(pa.array(gram[first])), pa.array(block[first]), lists], ["gram", "block", "passages"])
+
+
 def build(chunk_rows: DataFrame, path: str) -> None:
-    """chunk_rows: doc_id, chunk_no, chunk."""
+    """chunk_rows: doc_id, chunk_no, chunk.
+
+    Each task makes the lists of its own passages, so what is shuffled is lists, one row a trigram and block
+    or a few, and not a row for each trigram of each passage.
+    """
     spark = chunk_rows.sparkSession
     chunk_rows.select("doc_id", "chunk_no", "chunk").withColumn("passage", F.monotonically_increasing_id()).write.parquet(f"{path}/passages")
     stored = spark.read.parquet(f"{path}/passages")
-    characters = F.split(F.concat(F.lower("chunk"), F.lit(END * (GRAM - 1))), "")
-    held = stored.select("passage", characters.alias("c"))
-    grams = F.transform(F.sequence(F.lit(0), F.size("c") - GRAM), lambda i: F.concat(F.get("c", i), F.get("c", i + 1), F.get("c", i + 2)))
-    postings = held.where(F.size("c") >= GRAM).select("passage", F.explode(F.array_distinct(grams)).alias("gram"))
-    lists = postings.groupBy("gram", F.shiftright("passage", BLOCK_BITS).alias("block")).agg(F.sort_array(F.collect_list("passage")).alias("passages"))
+    some = stored.select("passage", F.lower("chunk").cast("binary").alias("text")).mapInArrow(_lists, "gram string, block bigint, passages array<bigint>")
+    lists = some.groupBy("gram", "block").agg(F.sort_array(F.flatten(F.collect_list("passages"))).alias("passages"))
     lists.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.parquet(f"{path}/postings")
 
 
