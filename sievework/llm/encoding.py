@@ -22,8 +22,10 @@ from tokenizers import Tokenizer
 BLANKS = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
 IRREGULAR = (*BLANKS, "  ", " \n", "\n ", "\n\n")
 _CUT = re.compile(rf"(?<=[^\s{BLANKS}]) (?=[^\s{BLANKS}])")
+#: ASCII marks. An apostrophe is cut off with letters after it, and a run of marks at a part's end has none.
+MARKS = r"[!-/:-@\[-`{-~]"
 #: A part that is a run of letters, with the space before it or not, and a run of marks: one run each to the merges.
-_RUNS = r"^(?P<word> ?\pL+)(?P<marks>[.,;:!?|]*)$"
+_RUNS = rf"^(?P<word> ?\pL+)(?P<marks>{MARKS}*)$"
 
 LONG_PIECE = 64
 #: Bytes a generation of known pieces may take, and what an entry takes beside its piece and its ids.
@@ -115,7 +117,8 @@ class ByteLevelEncoder:
         runs = pc.extract_regex(spaced, _RUNS)
         regular = runs.is_valid().to_numpy(zero_copy_only=False)
         word, marks = (runs.field(i).filter(pa.array(regular)).dictionary_encode() for i in (0, 1))
-        words, ends = word.dictionary.to_pylist(), marks.dictionary.to_pylist()
+        # By way of NumPy: to_pylist makes a scalar of each.
+        words, ends = (x.dictionary.to_numpy(zero_copy_only=False).tolist() for x in (word, marks))
         empty = np.flatnonzero(~regular).tolist()
         others = [parts[i].as_py() for i in empty]
         # Every run of ids a part is made of: none, a line feed, the words, the marks, the other parts.
@@ -187,7 +190,7 @@ def _splits_at_spaces(spec: dict) -> bool:
         and pre.get("use_regex", False)
         and not pre.get("add_prefix_space", True)
         and not spec["model"].get("dropout")
-        and not any(re.search(r"\s|^[^\W\d_]+$|^[.,;:!?|]+$", a["content"]) or a["lstrip"] or a["rstrip"] or a["single_word"] for a in added)
+        and not any(re.search(rf"\s|^[^\W\d_]*{MARKS}*$", a["content"]) or a["lstrip"] or a["rstrip"] or a["single_word"] for a in added)
     )
 
 

@@ -1,5 +1,6 @@
 """Shards, token files, packing and prefix counts against brute force and by exact round trips."""
 
+import string
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 
 from sievework.llm import hilbert, packing, prefix_counts, token_files
 from sievework.llm.common import components, shared_folder, with_prefix_sums
-from sievework.llm.encoding import byte_level
+from sievework.llm.encoding import ByteLevelEncoder, byte_level
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [
@@ -43,6 +44,26 @@ def test_encoder_equals_the_library():
     assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_with_any_marks_are_encoded_once(monkeypatch):
+    whole, encoder = Tokenizer.from_file(BPE), ByteLevelEncoder(BPE)
+    texts = [f"word{a}{b} Été{b}\nsay{a}s's {a}s dogs'{a} {b}\n{b} it{b}ll" for a in string.punctuation for b in string.punctuation]
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    # Runs of letters and then of marks are not left to the library's own cutting.
+    asked, ids = [], encoder.ids
+    monkeypatch.setattr(encoder, "ids", lambda texts: asked.extend(texts) or ids(texts))
+    encoder.encode([f"word{a}{b} Été{b}\nsay{a}\nman{b}'" for a in string.punctuation for b in string.punctuation])
+    assert not asked
+
+
+@pytest.mark.parametrize("token", ["***", "ab.", "a"])
+def test_added_tokens_that_look_like_words_or_marks(tmp_path, token):
+    whole = Tokenizer.from_file(BPE)
+    whole.add_tokens([token])
+    whole.save(path := str(tmp_path / "more.json"))
+    encoder, texts = ByteLevelEncoder(path), ["x*** ab. xab.* a\na**** ***", "xab."]
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("law", ["bytes", "rows"])
 def test_shards(spark, law):
     docs = table(spark, [t for t in TEXTS if t is None or len(t) < 100] * 9)
