@@ -10,6 +10,8 @@ from sievework.operators.reach import cyclic_edges  # noqa: F401
 from sievework.session import cut, parts
 
 LAYERS = ["source", "bronze", "silver", "gold", "serving"]
+#: Tasks that the ends of one node are told apart in.
+SHARES = 8
 
 
 def edges(mappings: DataFrame) -> DataFrame:
@@ -29,18 +31,22 @@ def edges(mappings: DataFrame) -> DataFrame:
     )
 
 
-def nodes(edge_rows: DataFrame) -> DataFrame:
-    """Distinct ends of the edges, with their layer."""
-    ends = edge_rows.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("from_id").alias("id"), F.col("from_label").alias("label")),
-                F.struct(F.col("to_id").alias("id"), F.col("to_label").alias("label")),
-            )
-        ).alias("n")
-    ).select("n.*")
-    # Labels are told apart first: an extreme of texts is found by sorting, and that is left with few rows.
-    found = ends.distinct().groupBy("id").agg(F.min("label").alias("label"))
+def nodes(edge_rows: DataFrame, most: int | None = None) -> DataFrame:
+    """Distinct ends of the edges, with their layer. most: how many edges there are at most, counted if not given.
+
+    Ends are told apart first, a node of many edges in several tasks: an extreme of texts is found by sorting,
+    and that is left with few rows. As for edges, the partitions follow the number of rows.
+    """
+    n = parts(2 * (edge_rows.count() if most is None else most))
+
+    def end(this: str, other: str) -> Column:
+        share = F.pmod(F.xxhash64(f"{other}_label"), F.lit(SHARES))
+        return F.struct(F.col(f"{this}_id").alias("id"), F.col(f"{this}_label").alias("label"), share.alias("share"))
+
+    ends = edge_rows.select(F.explode(F.array(end("from", "to"), end("to", "from"))).alias("n")).select("n.*")
+    told = ends.repartition(n, "id", "share").distinct().select("id", "label")
+    # Without a shuffle between them the optimizer would leave the distinct out and sort all ends.
+    found = told.repartition(n, "id").groupBy("id").agg(F.min("label").alias("label"))
     return found.withColumn("layer", layer(F.col("id")))
 
 

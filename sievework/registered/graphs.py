@@ -52,7 +52,8 @@ def lineage_edges(spark, sf_dir):
     """,
 )
 def lineage_nodes(spark, sf_dir):
-    return lineage.nodes(lineage.edges(supply_chain(spark, sf_dir)))
+    mappings = supply_chain(spark, sf_dir)
+    return lineage.nodes(lineage.edges(mappings), mappings.count())
 
 
 @query(
