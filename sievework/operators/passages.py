@@ -2,30 +2,37 @@
 
 `build` writes the passages with a number each and, for every three characters in a row of a lower-cased
 passage (and the shorter ends), the numbers of the passages that hold them. Lists are cut into blocks of
-passage numbers, so a frequent trigram is many short rows, and lie sorted by trigram, so a search reads the
-row groups of its trigrams only. A passage that holds a keyword holds all of its trigrams, or, for a shorter
-keyword, one that begins with it. Candidates are read and scored as `corpus.top_k` scores all passages, and
-the outcome is the same: where fewer than k passages score, the first of the others in document order follow.
+passage numbers, so a frequent trigram is many short rows, hold the steps from number to number, mostly a
+byte each, and lie sorted by trigram, so a search reads the row groups of its trigrams only. A passage that
+holds a keyword holds all of its trigrams, or, for a shorter keyword, one that begins with it. Candidates are
+read and scored as `corpus.top_k` scores all passages, and the outcome is the same: where fewer than k
+passages score, the first of the others in document order follow.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.operators.corpus import score
 from sievework.session import written
 
 GRAM = 3
+#: Bits of a passage's place in its block; a step within a block takes two bytes of 7 bits at most.
 BLOCK_BITS = 14
 #: Characters whose trigrams a task sorts at a time.
 PIECE = 1 << 21
 #: Stands after the end of a passage.
 END = "\0"
+#: Rows of steps that a task counts up at a time.
+ROWS = 64
+#: Candidates that are broadcast at a time, to the passages in their range of numbers.
+BROADCAST_ROWS = 250_000
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,36 +50,81 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _lists_of(rows: list[tuple[int, str]]) -> pa.RecordBatch:
     """The lists of passages that ascend by number; none is empty."""
-    points = np.frombuffer("".join(t + END * (GRAM - 1) for _, t in rows).encode("utf-32-le"), "<u4").astype(np.int64)
+    points = np.frombuffer("".join(t + END * (GRAM - 1) for _, t in rows).encode("utf-32-le"), "<u4")
+    letters = np.flatnonzero(np.bincount(points))
+    bits, row_bits = (len(letters) - 1).bit_length(), (len(rows) - 1).bit_length()
+    if GRAM * bits + row_bits > 63:
+        return pa.concat_batches([_lists_of(rows[: len(rows) // 2]), _lists_of(rows[len(rows) // 2 :])])
+    # The letters of a piece are numbered in order, so a gram and the row that holds it are one number to sort.
+    numbered = np.zeros(letters[-1] + 1, np.int64)
+    numbered[letters] = np.arange(len(letters))
+    points = numbered[points]
     sizes = np.array([len(t) for _, t in rows])
     # A gram begins at every character of a passage, none at the ends that were put on.
     owner = np.repeat(np.arange(len(rows)), sizes)
     at = np.arange(len(owner)) + owner * (GRAM - 1)
-    code = points[at] << 42 | points[at + 1] << 21 | points[at + 2]
-    grams, which = np.unique(code, return_inverse=True)
-    held = np.unique(which * len(rows) + owner)  # by gram, then passage
-    gram, passage = held // len(rows), np.array([i for i, _ in rows], np.int64)[held % len(rows)]
+    held = ((points[at] << bits | points[at + 1]) << bits | points[at + 2]) << row_bits | owner
+    held.sort()
+    held = held[np.r_[True, held[1:] != held[:-1]]]  # by gram, then passage
+    gram, passage = held >> row_bits, np.array([i for i, _ in rows], np.int64)[held & (1 << row_bits) - 1]
     block = passage >> BLOCK_BITS
     first = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])])
-    points = np.stack([grams >> 42, grams >> 21 & 0x1FFFFF, grams & 0x1FFFFF], 1).astype("<u4")
-    letters = points.tobytes().decode("utf-32-le")
-    names = pa.array([letters[i : i + GRAM] for i in range(0, len(letters), GRAM)])
+    grams, mask = gram[first], (1 << bits) - 1
+    points = np.stack([letters[grams >> 2 * bits], letters[grams >> bits & mask], letters[grams & mask]], 1).astype("<u4")
+    text = points.tobytes().decode("utf-32-le")
+    names = pa.array([text[i : i + GRAM] for i in range(0, len(text), GRAM)])
     lists = pa.ListArray.from_arrays(np.r_[first, len(held)].astype(np.int32), passage)
-    return pa.RecordBatch.from_arrays([names.take(pa.array(gram[first])), pa.array(block[first]), lists], ["gram", "block", "passages"])
+    return pa.RecordBatch.from_arrays([names, pa.array(block[first]), lists], ["gram", "block", "passages"])
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, block, steps) of (passage, text) rows: the same lists, each a first place in its block and the steps from there."""
+    for batch in _lists(batches):
+        lists = batch["passages"]
+        first, place = lists.offsets.to_numpy(), lists.values.to_numpy() & (1 << BLOCK_BITS) - 1
+        step = np.diff(place, prepend=0)
+        step[first[:-1]] = place[first[:-1]]
+        # 7 bits a byte, the low ones first; all but a number's last byte have the high bit set.
+        long = step > 127
+        last = np.cumsum(1 + long) - 1
+        held = np.zeros(last[-1] + 1, np.uint8)
+        held[last] = np.where(long, step >> 7, step)
+        held[last[long] - 1] = step[long] & 127 | 128
+        begins = np.r_[last - long, len(held)][first].astype(np.int32)
+        steps = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(begins), pa.py_buffer(held)])
+        yield pa.RecordBatch.from_arrays([batch["gram"], batch["block"], steps], ["gram", "block", "steps"])
+
+
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, need, passage) of (word, need, block, steps) rows."""
+    for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
+        lists = batch["steps"].to_pylist()
+        held = np.frombuffer(b"".join(lists), np.uint8).astype(np.int64)
+        last = np.flatnonzero(held < 128)
+        before = held[last - 1]
+        step = np.where((before > 127) & (last > 0), held[last] << 7 | before & 127, held[last])
+        row = np.searchsorted(np.cumsum([len(x) for x in lists]), last, side="right")
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        total = np.cumsum(step)
+        place = total - (total - step)[first][row]
+        passage = (batch["block"].to_numpy()[row] << BLOCK_BITS) + place
+        yield pa.RecordBatch.from_arrays([batch["word"].take(pa.array(row)), batch["need"].take(pa.array(row)), pa.array(passage)], ["word", "need", "passage"])
 
 
 def build(chunk_rows: DataFrame, path: str) -> None:
     """chunk_rows: doc_id, chunk_no, chunk.
 
     Each task makes the lists of its own passages, so what is shuffled is lists, one row a trigram and block
-    or a few, and not a row for each trigram of each passage.
+    or a few, and not a row for each trigram of each passage. Lists are shuffled and stored as bytes of steps,
+    those of one task apart from the next one's.
     """
     spark = chunk_rows.sparkSession
-    chunk_rows.select("doc_id", "chunk_no", "chunk").withColumn("passage", F.monotonically_increasing_id()).write.parquet(f"{path}/passages")
+    numbered = chunk_rows.select("doc_id", "chunk_no", "chunk").withColumn("passage", F.monotonically_increasing_id())
+    numbered.write.option("compression", "zstd").parquet(f"{path}/passages")
     stored = spark.read.parquet(f"{path}/passages")
-    some = stored.select("passage", F.lower("chunk").cast("binary").alias("text")).mapInArrow(_lists, "gram string, block bigint, passages array<bigint>")
-    lists = some.groupBy("gram", "block").agg(F.sort_array(F.flatten(F.collect_list("passages"))).alias("passages"))
-    lists.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.parquet(f"{path}/postings")
+    some = stored.select("passage", F.lower("chunk").cast("binary").alias("text")).mapInArrow(_steps, "gram string, block bigint, steps binary")
+    lists = some.groupBy("gram", "block").agg(F.sort_array(F.collect_list("steps")).alias("steps"))
+    lists.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.option("compression", "zstd").parquet(f"{path}/postings")
 
 
 def _words(queries: dict[str, list[str]]) -> list[str]:
@@ -86,29 +138,50 @@ def candidates(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
     short = [w for w in words if len(w) < GRAM]
     wanted = [(w, g, len(found)) for w, found in grams.items() for g in found]
     postings = spark.read.parquet(f"{path}/postings")
-    none = spark.createDataFrame([], "word string, passage bigint")
-    long = none
+    long = spark.createDataFrame([], "word string, passage bigint")
     if wanted:
         asked = F.broadcast(spark.createDataFrame(wanted, "word string, gram string, need int"))  # the keywords of a few questions
-        hits = postings.where(F.col("gram").isin(exact)).join(asked, "gram").select("word", "need", F.explode("passages").alias("passage"))
+        hits = _held(postings.where(F.col("gram").isin(exact)).join(asked, "gram"))
         long = hits.groupBy("word", "passage").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n = need").select("word", "passage")
     for w in short:
-        begins = postings.where(F.col("gram").startswith(w)).select(F.lit(w).alias("word"), F.explode("passages").alias("passage"))
-        long = long.unionByName(begins.distinct())
+        begins = _held(postings.where(F.col("gram").startswith(w)).withColumns({"word": F.lit(w), "need": F.lit(1)}))
+        long = long.unionByName(begins.select("word", "passage").distinct())
     return long
 
 
+def _held(found: DataFrame) -> DataFrame:
+    """(word, need, passage): the passages of posting rows found for words."""
+    return found.select("word", "need", "block", F.explode("steps").alias("steps")).mapInArrow(_numbers, "word string, need int, passage bigint")
+
+
+def _ranges(found: DataFrame) -> list[Column]:
+    """Conditions that part all passages by number, each with about BROADCAST_ROWS of the found ones at most."""
+    n = math.ceil(found.count() / BROADCAST_ROWS)
+    if n < 2:
+        return [F.lit(True)]
+    passage = F.col("passage")
+    ends = sorted(set(found.agg(F.percentile_approx("passage", [i / n for i in range(1, n)])).first()[0]))
+    return [passage < ends[0], *((passage >= a) & (passage < b) for a, b in zip(ends, ends[1:])), passage >= ends[-1]]
+
+
 def search(spark: SparkSession, path: str, queries: dict[str, list[str]], k: int) -> DataFrame:
-    """query, score, doc_id, chunk_no, chunk, place: as `corpus.top_k` over all passages."""
+    """query, score, doc_id, chunk_no, chunk, place: as `corpus.top_k` over all passages.
+
+    Candidates go to the passages, some at a time, so no passage is shuffled but the best of each task.
+    """
     asked = spark.createDataFrame([(q, w.lower()) for q, words in queries.items() for w in dict.fromkeys(words) if w], "query string, word string")
-    found = candidates(spark, path, _words(queries)).join(F.broadcast(asked), "word").select("query", "passage").distinct()
+    found = written(candidates(spark, path, _words(queries)).join(F.broadcast(asked), "word").select("query", "passage").distinct(), "passages-asked")
     passages = spark.read.parquet(f"{path}/passages")
     value = F.lit(0).cast("bigint")
     for q, words in queries.items():
         value = F.when(F.col("query") == q, score(F.lower("chunk"), words)).otherwise(value)
-    rows = passages.join(found, "passage").select("query", value.alias("score"), "doc_id", "chunk_no", "chunk").where("score > 0")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id", "chunk_no"))
-    best = written(rows.withColumn("place", place).where(F.col("place") <= k), "passages-found")
+    best = None
+    for some in _ranges(found):
+        rows = passages.where(some).join(F.broadcast(found.where(some)), "passage")  # about BROADCAST_ROWS at most
+        rows = rows.select("query", value.alias("score"), "doc_id", "chunk_no", "chunk").where("score > 0")
+        rows = rows if best is None else rows.unionByName(best.drop("place"))
+        best = written(rows.withColumn("place", place).where(F.col("place") <= k), "passages-found")
     # Passages without a match follow in document order; at most k of the first 2 k - 1 are among the best.
     first = passages.orderBy("doc_id", "chunk_no").limit(2 * k).select("doc_id", "chunk_no", "chunk")
     every = first.withColumn("query", F.explode(F.array(*[F.lit(q) for q in queries])))
