@@ -29,8 +29,6 @@ BLOCK_BITS = 14
 PIECE = 1 << 21
 #: Stands after the end of a passage.
 END = "\0"
-#: Rows of steps that a task counts up at a time.
-ROWS = 64
 #: Candidates that are broadcast at a time, to the passages in their range of numbers.
 BROADCAST_ROWS = 250_000
 
@@ -63,7 +61,13 @@ def _lists_of(rows: list[tuple[int, str]]) -> pa.RecordBatch:
     # A gram begins at every character of a passage, none at the ends that were put on.
     owner = np.repeat(np.arange(len(rows)), sizes)
     at = np.arange(len(owner)) + owner * (GRAM - 1)
-    held = ((points[at] << bits | points[at + 1]) << bits | points[at + 2]) << row_bits | owner
+    held = points[at]
+    for _ in range(1, GRAM):
+        at += 1
+        held <<= bits
+        held |= points[at]
+    held <<= row_bits
+    held |= owner
     held.sort()
     held = held[np.r_[True, held[1:] != held[:-1]]]  # by gram, then passage
     gram, passage = held >> row_bits, np.array([i for i, _ in rows], np.int64)[held & (1 << row_bits) - 1]
@@ -95,20 +99,25 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["gram"], batch["block"], steps], ["gram", "block", "steps"])
 
 
-def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, need, passage) of (word, need, block, steps) rows."""
-    for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
-        lists = batch["steps"].to_pylist()
-        held = np.frombuffer(b"".join(lists), np.uint8).astype(np.int64)
-        last = np.flatnonzero(held < 128)
-        before = held[last - 1]
-        step = np.where((before > 127) & (last > 0), held[last] << 7 | before & 127, held[last])
-        row = np.searchsorted(np.cumsum([len(x) for x in lists]), last, side="right")
-        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        total = np.cumsum(step)
-        place = total - (total - step)[first][row]
-        passage = (batch["block"].to_numpy()[row] << BLOCK_BITS) + place
-        yield pa.RecordBatch.from_arrays([batch["word"].take(pa.array(row)), batch["need"].take(pa.array(row)), pa.array(passage)], ["word", "need", "passage"])
+def _places(lists: list[bytes]) -> np.ndarray:
+    """The places in their block that lists of steps hold, list after list."""
+    held = np.frombuffer(b"".join(lists), np.uint8).astype(np.int64)
+    last = np.flatnonzero(held < 128)
+    step = held[last]
+    long = np.flatnonzero(np.diff(last, prepend=-1) > 1)
+    step[long] = step[long] << 7 | held[last[long] - 1] & 127
+    of = np.searchsorted(np.cumsum([len(x) for x in lists]), last, side="right")
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    total = np.cumsum(step)
+    return total - (total - step)[first][of]
+
+
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, passage) of (word, block, need, steps) rows: the passages that at least `need` of a row's lists hold."""
+    for batch in batches:
+        for word, block, need, steps in zip(*(batch[c].to_pylist() for c in ("word", "block", "need", "steps"))):
+            passage = np.flatnonzero(np.bincount(_places(steps)) >= need) + (block << BLOCK_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array([word] * len(passage), pa.string()), pa.array(passage)], ["word", "passage"])
 
 
 def build(chunk_rows: DataFrame, path: str) -> None:
@@ -132,26 +141,21 @@ def _words(queries: dict[str, list[str]]) -> list[str]:
 
 
 def candidates(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
-    """(word, passage): passages that hold all trigrams of a word."""
+    """(word, passage): passages that hold all trigrams of a word, or one that begins with a shorter word.
+
+    The lists of a word and a block meet in one row, so what is shuffled is lists, not passages.
+    """
     grams = {w: sorted({w[i : i + GRAM] for i in range(len(w) - GRAM + 1)}) for w in words}
     exact = sorted({g for found in grams.values() for g in found})
-    short = [w for w in words if len(w) < GRAM]
     wanted = [(w, g, len(found)) for w, found in grams.items() for g in found]
     postings = spark.read.parquet(f"{path}/postings")
-    long = spark.createDataFrame([], "word string, passage bigint")
-    if wanted:
-        asked = F.broadcast(spark.createDataFrame(wanted, "word string, gram string, need int"))  # the keywords of a few questions
-        hits = _held(postings.where(F.col("gram").isin(exact)).join(asked, "gram"))
-        long = hits.groupBy("word", "passage").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n = need").select("word", "passage")
-    for w in short:
-        begins = _held(postings.where(F.col("gram").startswith(w)).withColumns({"word": F.lit(w), "need": F.lit(1)}))
-        long = long.unionByName(begins.select("word", "passage").distinct())
-    return long
-
-
-def _held(found: DataFrame) -> DataFrame:
-    """(word, need, passage): the passages of posting rows found for words."""
-    return found.select("word", "need", "block", F.explode("steps").alias("steps")).mapInArrow(_numbers, "word string, need int, passage bigint")
+    asked = spark.createDataFrame(wanted, "word string, gram string, need int")  # the keywords of a few questions
+    hits = postings.where(F.col("gram").isin(exact)).join(F.broadcast(asked), "gram").select("word", "block", "need", "steps")
+    for w in words:
+        if len(w) < GRAM:
+            hits = hits.unionByName(postings.where(F.col("gram").startswith(w)).select(F.lit(w).alias("word"), "block", F.lit(1).alias("need"), "steps"))
+    met = hits.groupBy("word", "block").agg(F.max("need").alias("need"), F.flatten(F.collect_list("steps")).alias("steps"))
+    return met.mapInArrow(_holders, "word string, passage bigint")
 
 
 def _ranges(found: DataFrame) -> list[Column]:

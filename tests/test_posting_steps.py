@@ -23,17 +23,24 @@ def held_by(texts):
 def test_steps_are_the_lists(monkeypatch, bits):
     monkeypatch.setattr(passages, "PIECE", 5_000)
     monkeypatch.setattr(passages, "BLOCK_BITS", bits)
-    monkeypatch.setattr(passages, "ROWS", 7)
     rng = random.Random(bits)
     numbers = [*rng.sample(range(40_000), 300), *range(1 << 33, (1 << 33) + 300), 16_383 + (5 << 40), 16_384 + (5 << 40)]
     texts = {i: "".join(rng.choices("abé日\0😀 ", k=rng.randint(0, 40))) for i in numbers}
     found = []
     for b in passages._steps(iter([batch_of(texts)])):
-        asked = pa.RecordBatch.from_arrays([b["gram"], pa.array([1] * len(b), pa.int32()), b["block"], b["steps"]], ["word", "need", "block", "steps"])
-        found += [(r["word"], r["passage"]) for n in passages._numbers(iter([asked])) for r in n.to_pylist()]
+        asked = pa.RecordBatch.from_arrays([b["gram"], b["block"], pa.array([1] * len(b)), pa.array([[x] for x in b["steps"].to_pylist()])], ["word", "block", "need", "steps"])
+        found += [(r["word"], r["passage"]) for n in passages._holders(iter([asked])) for r in n.to_pylist()]
     assert sorted(found) == held_by(texts)
 
 
+def test_lists_that_meet():
+    a, b, c = [0, 5, 300, 16_383], [5, 16_383], [4, 5]
+    lists = [x.as_py() for some in (a, b, c) for n in passages._steps(iter([batch_of({i: "x" for i in some})])) for x in n["steps"]]
+    asked = pa.RecordBatch.from_arrays([pa.array(["x"] * 3), pa.array([0, 2, 2]), pa.array([3, 2, 1]), pa.array([lists] * 3)], ["word", "block", "need", "steps"])
+    first = 2 << passages.BLOCK_BITS
+    assert [n["passage"].to_pylist() for n in passages._holders(iter([asked]))] == [[5], [first + 5, first + 16_383], [first + i for i in (0, 4, 5, 300, 16_383)]]
+
+
 def test_more_letters_than_a_number_holds():
     points = [chr(p) for p in range(0x20, 0x50000) if not 0xD800 <= p < 0xE000]
     texts = {i: "".join(points[i * 3_000 : (i + 1) * 3_000]) for i in range(100)}
@@ -73,3 +80,11 @@ def test_passages_are_not_shuffled(spark, tmp_path, monkeypatch):
     assert found == rows(corpus.top_k(df, QUERIES, 4).select("query", "score", "doc_id", "chunk_no", "chunk", "place"))
     joins = [p for p in plans if "chunk" in p]
     assert all("SortMergeJoin" not in p and "BroadcastHashJoin" in p for p in joins) and len(joins) > 2
+
+
+@pytest.mark.parametrize("queries", [{"q": ["b"], "none": []}, {"none": []}])
+def test_short_words_or_none(spark, tmp_path, queries):
+    df = spark.createDataFrame([(1, 0, "abab"), (2, 0, "b"), (3, 0, "xyz"), (3, 1, None)], "doc_id long, chunk_no int, chunk string")
+    passages.build(df, str(tmp_path / "index"))
+    columns = ["query", "score", "doc_id", "chunk_no", "chunk", "place"]
+    assert rows(passages.search(spark, str(tmp_path / "index"), queries, 3).select(columns)) == rows(corpus.top_k(df, queries, 3).select(columns))
